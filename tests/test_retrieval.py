@@ -106,7 +106,7 @@ def test_small_batches_and_other_partitions(spark, monkeypatch):
 
 def test_leaders_are_the_full_ranking(spark):
     queries, docs = frames(spark)
-    every = rt.leading_documents(queries, docs, rt.build_lexicon(docs), len(DOCS))
+    every = rt.leading_documents(queries, rt.build_index(docs), len(DOCS))
     assert every.groupBy("leg", "query_id").count().filter(F.col("count") != len(DOCS)).count() == 0
     best = {(r.query_id, r["rank"]): r.doc_id for r in every.filter("leg = 'lexical'").collect()}
     # without any match: by key, descending
@@ -117,7 +117,7 @@ def test_idf_floor_is_used(spark):
     docs = rt.searchable(
         spark.createDataFrame([(i, f"the word{i}") for i in range(9)], "id bigint, t string"), "id", "t"
     )
-    terms = {r.term: r.idf for r in rt.build_lexicon(docs).terms.collect()}
+    terms = {r.term: r.idf for r in rt.build_index(docs).terms.collect()}
     raw_the = math.log(0.5) - math.log(9.5)
     mean = (raw_the + 9 * (math.log(8.5) - math.log(1.5))) / 10
     assert terms["the"] == pytest.approx(0.25 * mean)
@@ -153,3 +153,12 @@ def test_hits_need_no_shuffle_of_messages(spark):
     messages = spark.range(20).selectExpr("id", "concat('w', id) as text")
     plan = rt.with_hits(messages, docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_stored_index(spark, tmp_path):
+    queries, docs = frames(spark)
+    rt.build_index(docs, str(tmp_path / "index"))
+    index = rt.read_index(spark, str(tmp_path / "index"))
+    assert (index.n_docs, index.n_postings) == (len(DOCS), rt.postings(index.docs).count())
+    assert rows(rt.retrieve(queries, index, 3)) == brute(3)
+    assert rows(rt.retrieve(queries, index, 3, resident="corpus")) == brute(3)

@@ -60,9 +60,15 @@ def has_phone(text: Column) -> Column:
     )
 
 
-def pii_kinds(text: Column) -> Column:
-    """The kinds found, in the fixed order of ``rules.PII_KINDS``."""
+def pii_kinds(text: Column, hints: Column | None = None) -> Column:
+    """The kinds found, in the fixed order of ``rules.PII_KINDS``.
+
+    ``hints`` is a struct with a boolean per kind; where it is false the kind
+    cannot occur and its pattern is not tried.
+    """
     checks = (has_card, has_ssn, has_password, has_email, has_phone)
-    return F.array_compact(
-        F.array(*[F.when(check(text), kind) for kind, check in zip(rules.PII_KINDS, checks)])
-    )
+    found = []
+    for kind, check in zip(rules.PII_KINDS, checks):
+        test = check(text) if hints is None else hints.getField(kind) & check(text)
+        found.append(F.when(test, kind))
+    return F.array_compact(F.array(*found))

@@ -33,15 +33,45 @@ def unit_rows(vectors: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def term_codes(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
-    """Token lists to (row, code, count) triples of the known terms, and list lengths."""
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
-    codes = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy()
+def known_terms(
+    terms: pa.Array, counts: pa.Array | None, vocabulary: pa.Array
+) -> tuple[np.ndarray, ...]:
+    """Term lists to (row, code, count) triples of the terms in ``vocabulary``.
+
+    With ``counts`` the lists hold distinct terms; without, they are raw tokens.
+    """
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(terms), 0), dtype=np.int64)
+    codes = pc.fill_null(pc.index_in(terms.flatten(), vocabulary), -1).to_numpy()
     rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     known = codes >= 0
+    if counts is not None:
+        return rows[known], codes[known], counts.flatten().to_numpy()[known]
     width = max(len(vocabulary), 1)
-    pairs, counts = np.unique(rows[known] * width + codes[known], return_counts=True)
-    return pairs // width, pairs % width, counts, lengths
+    pairs, found = np.unique(rows[known] * width + codes[known], return_counts=True)
+    return pairs // width, pairs % width, found
+
+
+def count_terms(tokens: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Token lists to lists of distinct terms and lists of their counts."""
+    coded = tokens.flatten().dictionary_encode()
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
+    rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    width = max(len(coded.dictionary), 1)
+    pairs, counts = np.unique(
+        rows * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True
+    )
+    ends = np.cumsum(np.bincount(pairs // width, minlength=len(lengths)))
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    terms = coded.dictionary.take(pa.array(pairs % width)).cast(pa.string())
+    return (
+        pa.ListArray.from_arrays(offsets, terms),
+        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
+    )
+
+
+def saturated(tf: np.ndarray, dl: np.ndarray, avgdl: float, k1: float, b: float) -> np.ndarray:
+    """The term-frequency part of BM25."""
+    return tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / max(avgdl, 1e-300)))
 
 
 def descending_order(scores: np.ndarray, axis: int) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from triagelake import rules
 from triagelake.functions.pii import pii_kinds
 from triagelake.functions.text import any_of, contains_any
+from triagelake.functions.words import FLAGS, in_flags, with_words
 
 
 def first_foreign_url(draft_text: Column) -> Column:
@@ -51,20 +52,20 @@ def arbitrate(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = df.columns
-    if "_lower" not in kept:
-        df = df.withColumn("_lower", F.lower(body))
-    lower = F.col("_lower")
+    if FLAGS not in kept:
+        df = with_words(df, text)
+    has = in_flags()
     intent = F.col(classification).getField("intent")
     confidence = F.col(classification).getField("confidence")
     draft = F.col(draft_text) if draft_text else F.lit(None).cast("string")
 
-    found = df.withColumn("_pii", pii_kinds(body)).withColumn(
+    found = df.withColumn("_pii", pii_kinds(body, F.col(FLAGS))).withColumn(
         "_flags",
         F.struct(
-            contains_any(lower, rules.HAZARD_WORDS).alias("hazard"),
-            contains_any(lower, rules.LEGAL_WORDS).alias("legal"),
-            contains_any(lower, rules.PROFANITY_WORDS).alias("profanity"),
-            contains_any(lower, rules.CHURN_WORDS).alias("churn"),
+            has(rules.HAZARD_WORDS).alias("hazard"),
+            has(rules.LEGAL_WORDS).alias("legal"),
+            has(rules.PROFANITY_WORDS).alias("profanity"),
+            has(rules.CHURN_WORDS).alias("churn"),
             (intent == rules.RESTRICTED_INTENT).alias("restricted"),
             (confidence >= threshold).alias("confident"),
             grounding_issue(draft).alias("issue"),

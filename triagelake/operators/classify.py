@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake import rules, schemas
-from triagelake.functions.text import contains_any
+from triagelake.functions.words import Matcher, in_flags, with_words
 
 
-def rule_hits(lower_text: Column, rule: rules.IntentRule) -> Column:
-    hit = contains_any(lower_text, rule.any_of)
+def rule_hits(has: Matcher, rule: rules.IntentRule) -> Column:
+    hit = has(rule.any_of)
     if rule.unless:
-        hit = hit & ~contains_any(lower_text, rule.unless)
+        hit = hit & ~has(rule.unless)
     if rule.or_any:
-        also = contains_any(lower_text, rule.or_any)
+        also = has(rule.or_any)
         if rule.or_unless:
-            also = also & ~contains_any(lower_text, rule.or_unless)
+            also = also & ~has(rule.or_unless)
         hit = hit | also
     return hit
 
@@ -32,17 +32,17 @@ def _outcome(rule: rules.IntentRule) -> Column:
 
 
 def classification(
-    lower_text: Column,
+    has: Matcher,
     intent_rules: Sequence[rules.IntentRule] = rules.INTENT_RULES,
     default: rules.IntentRule = rules.DEFAULT_INTENT,
 ) -> Column:
     """The first rule that hits, as a ``schemas.CLASSIFICATION`` struct.
 
-    ``when`` branches are evaluated in order and only as far as needed.
+    ``has`` tells whether a word list hits: ``in_text`` or ``in_flags``.  ``when`` branches are evaluated in order and only as far as needed.
     """
     chain = F.when(F.lit(False), _outcome(default))
     for rule in intent_rules:
-        chain = chain.when(rule_hits(lower_text, rule), _outcome(rule))
+        chain = chain.when(rule_hits(has, rule), _outcome(rule))
     return chain.otherwise(_outcome(default))
 
 
@@ -52,10 +52,13 @@ def classify(
     intent_rules: Sequence[rules.IntentRule] = rules.INTENT_RULES,
     default: rules.IntentRule = rules.DEFAULT_INTENT,
 ) -> DataFrame:
-    """Add ``classification`` and the lower-cased text ``_lower`` (narrow, no shuffle)."""
-    return messages.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(
-        "classification", classification(F.col("_lower"), intent_rules, default)
-    )
+    """Add ``classification`` (narrow, no shuffle).
+
+    The lower-cased text ``_lower`` and the word flags ``_words`` stay in the
+    result for the arbiter to use.
+    """
+    found = with_words(messages, text, intent_rules)
+    return found.withColumn("classification", classification(in_flags(), intent_rules, default))
 
 
 def parse_classification(payload: Column) -> Column:

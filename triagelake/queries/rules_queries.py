@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake import rules as R
 from triagelake.functions import pii
+from triagelake.functions.words import in_flags, in_text
 from triagelake.functions.text import contains_any, ends_with_any, message_id
 from triagelake.operators import arbiter, draft, judge
 from triagelake.operators.baselines import with_baselines
@@ -44,8 +45,8 @@ def prd1(spark, sf):
     "(contains(lc, 'track') AND NOT contains(lc, 'trackpad'))) AS orders_hit FROM t_classified"))
 def prd2(spark, sf):
     return lowered(spark, sf).select(
-        "id", rule_hits(LC, R.INTENT_RULES[1]).alias("hardware"),
-        rule_hits(LC, R.INTENT_RULES[3]).alias("orders_hit"),
+        "id", rule_hits(in_text(LC), R.INTENT_RULES[1]).alias("hardware"),
+        rule_hits(in_text(LC), R.INTENT_RULES[3]).alias("orders_hit"),
     )
 
 
@@ -144,7 +145,7 @@ def v2(spark, sf):
                  "confidence FROM t_classified"))
 def cls1(spark, sf):
     return _classified(spark, sf).select(
-        "id", rule_hits(F.col("_lower"), R.INTENT_RULES[0]).alias("ambiguous"),
+        "id", rule_hits(in_flags(), R.INTENT_RULES[0]).alias("ambiguous"),
         F.col("classification.confidence").alias("confidence"),
     )
 
@@ -385,7 +386,7 @@ def _judged(spark, sf):
 def jdg1(spark, sf):
     return _judged(spark, sf).select(
         "id",
-        judge.guard(F.lower("query"), F.lower("response")).alias("guard"),
+        judge.guard(judge.is_hazard(F.lower("query")), F.lower("response")).alias("guard"),
         "judgement.rationale",
     )
 

@@ -22,6 +22,10 @@ def _r(column, digits=6):
     return F.floor(column * scale + 0.5).cast("double") / scale
 
 
+def _index(spark, sf):
+    return rt.build_index(search_docs(spark, sf))
+
+
 # --- tokens and statistics ---------------------------------------------------
 
 
@@ -38,7 +42,7 @@ def tok1(spark, sf):
 @query("bm1", ("SELECT doc_id, max(dl) AS dl, count(*) AS n_terms, max(tf) AS max_tf "
                 "FROM t_search_postings GROUP BY doc_id"))
 def bm1(spark, sf):
-    return rt.postings(search_docs(spark, sf)).groupBy("doc_id").agg(
+    return rt.postings(_index(spark, sf).docs).groupBy("doc_id").agg(
         F.max("dl").alias("dl"), F.count(F.lit(1)).alias("n_terms"), F.max("tf").alias("max_tf")
     )
 
@@ -47,11 +51,10 @@ def bm1(spark, sf):
                   "FROM t_search_size, (SELECT count(*) AS n_terms, max(df) AS max_df, "
                   "CAST(sum(df) AS BIGINT) AS n_postings FROM t_search_idf)"))
 def agg10(spark, sf):
-    docs = search_docs(spark, sf)
-    size = rt.corpus_size(docs).withColumn("_one", F.lit(1))
-    terms = rt.document_frequencies(docs).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("max_df"),
-        F.sum("df").alias("n_postings"),
+    index = _index(spark, sf)
+    size = rt.corpus_size(index.docs).withColumn("_one", F.lit(1))
+    terms = index.terms.agg(
+        F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("max_df")
     ).withColumn("_one", F.lit(1))
     return size.join(terms, "_one").select(
         "n_docs", "n_tokens", _r(F.col("avgdl")).alias("avgdl"), "n_terms", "n_postings", "max_df"
@@ -60,7 +63,7 @@ def agg10(spark, sf):
 
 @query("bm2", (f"SELECT term, df, {sql.rounded('idf')} AS idf FROM t_search_idf"))
 def bm2(spark, sf):
-    return rt.build_lexicon(search_docs(spark, sf)).terms.select(
+    return _index(spark, sf).terms.select(
         "term", "df", _r(F.col("idf")).alias("idf")
     )
 
@@ -68,8 +71,7 @@ def bm2(spark, sf):
 @query("jn2", (f"SELECT query_id, term, qtf, df, {sql.rounded('idf')} AS idf "
                 "FROM t_search_asked JOIN t_search_idf USING (term)"))
 def jn2(spark, sf):
-    lexicon = rt.build_lexicon(search_docs(spark, sf))
-    return rt.look_up_terms(search_queries(spark, sf), lexicon).select(
+    return rt.look_up_terms(search_queries(spark, sf), _index(spark, sf)).select(
         "query_id", "term", "qtf", "df", _r(F.col("idf")).alias("idf")
     )
 
@@ -78,10 +80,7 @@ def jn2(spark, sf):
 
 
 def _leaders(spark, sf, keep, *legs):
-    docs = search_docs(spark, sf)
-    return rt.leading_documents(
-        search_queries(spark, sf), docs, rt.build_lexicon(docs), keep, legs
-    )
+    return rt.leading_documents(search_queries(spark, sf), _index(spark, sf), keep, legs)
 
 
 def _ranked(leg, keep, extra=""):

@@ -174,6 +174,16 @@ CARD_PATTERN = r"\b(?:\d[ -]*?){13,19}\b"
 PASSWORD_PATTERN = r"(?i)(?:password|passcode|pin|pwd)\s*(?:is|:|=)\s*([^\s,;]+)"
 URL_PATTERN = r"https?://[^\s]+"
 
+# Cheap patterns on the lower-cased text, by kind.  Each holds wherever the pattern
+# above holds, so the exact test is left to the few texts that show one.
+PII_HINTS = {
+    "CREDIT_CARD": r"(?:[0-9][ -]*){13}",
+    "SSN": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "PLAINTEXT_PASSWORD": r"(?:password|passcode|pin|pwd)[\s\x0b]*(?:is|:|=)",
+    "EMAIL": r"[a-z0-9._%+-]@[a-z0-9.-]+\.[a-z|]",
+    "PHONE_NUMBER": r"[0-9]{4}",
+}
+
 PHONE_MIN_DIGITS = 10
 CARD_MIN_DIGITS, CARD_MAX_DIGITS = 13, 19
 CARD_LENGTHS_ALWAYS = (15, 16)
