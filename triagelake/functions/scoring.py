@@ -79,9 +79,48 @@ def descending_order(scores: np.ndarray, axis: int) -> np.ndarray:
     return np.flip(np.argsort(scores, axis=axis, kind="stable"), axis=axis)
 
 
-def ranks(scores: np.ndarray) -> np.ndarray:
-    """1-based rank of every column of a row, in ``descending_order``."""
-    order = descending_order(scores, axis=1)
-    out = np.empty_like(order)
-    np.put_along_axis(out, order, np.arange(1, scores.shape[1] + 1)[None, :], axis=1)
-    return out
+def order_keys(scores: np.ndarray, bits: int) -> np.ndarray:
+    """Distinct integers that sort like (score, column); the low bits are the column.
+
+    Rounded scores are whole numbers of the last digit kept.  Where they are too
+    large to share an integer with the column, their order takes their place.
+    """
+    whole = np.rint(scores * 10.0**SCORE_DIGITS)
+    if np.abs(whole).max(initial=0) < 2.0 ** (62 - bits):
+        whole = whole.astype(np.int64)
+    else:
+        whole = np.argsort(np.argsort(scores, axis=1, kind="stable"), axis=1, kind="stable")
+    return (whole << bits) + np.arange(scores.shape[1])
+
+
+def fused_top(
+    legs: tuple[np.ndarray, np.ndarray], k: int, rrf_k: int
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Columns, ranks and fused scores of the first ``k`` columns of each row.
+
+    Only columns among the first rrf_k + 2k of a ranking can be in the result
+    (see ``retrieval``); their ranks are places among all sorted keys.
+    """
+    rows, width = legs[0].shape
+    bits = max(width - 1, 1).bit_length()
+    keep = min(width, rrf_k + 2 * k)
+    keys = [order_keys(scores, bits) for scores in legs]
+    ordered = [np.sort(x, axis=1) for x in keys]
+    found = np.concatenate([x[:, width - keep :] for x in ordered], axis=1) & ((1 << bits) - 1)
+    ranks = []
+    for key, place in zip(keys, ordered):
+        wanted = np.take_along_axis(key, found, axis=1)
+        ranks.append(
+            np.stack([width - np.searchsorted(p, w) for p, w in zip(place, wanted)])
+            if rows
+            else wanted
+        )
+    fused = 1.0 / (rrf_k + ranks[0]) + 1.0 / (rrf_k + ranks[1])
+    # leading in both rankings: listed twice, counted once
+    twice = (np.arange(2 * keep) >= keep) & (ranks[0] <= keep)
+    top = np.lexsort((found, np.where(twice, np.inf, -fused)), axis=1)[:, : min(k, width)]
+    return (
+        np.take_along_axis(found, top, axis=1),
+        [np.take_along_axis(r, top, axis=1) for r in ranks],
+        np.take_along_axis(fused, top, axis=1),
+    )

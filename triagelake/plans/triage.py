@@ -10,7 +10,9 @@ from triagelake.functions.text import message_id
 from triagelake.operators import draft as drafting
 from triagelake.operators.arbiter import arbitrate, route
 from triagelake.operators.classify import classify
-from triagelake.operators.retrieval import attach_attributes, searchable, with_hits
+from triagelake.operators.retrieval import (
+    Index, attach_attributes, build_index, searchable, with_hits,
+)
 
 ATTRIBUTES = ["tweet_id", "query_text", "resolution_text", "intent"]
 
@@ -27,17 +29,23 @@ def rules_only(
     return out.select(*kept, "classification", "decision")
 
 
+def index_corpus(corpus: DataFrame, path: str | None = None) -> Index:
+    """The retrieval index of past resolutions, over the customers' side."""
+    return build_index(searchable(corpus, "doc_id", "query_text", "embedding"), path)
+
+
 def with_drafts(
     messages: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text",
     embedding: str | None = None, k: int = rules.TOP_K, rrf_k: int = rules.RRF_K,
-    signoff: str = rules.SIGNOFF, resident: str | None = None,
+    signoff: str = rules.SIGNOFF, resident: str | None = None, index: Index | None = None,
 ) -> DataFrame:
     """Add ``classification``, ``retrieved``, ``context`` and ``draft``.
 
-    ``corpus``: doc_id (bigint), the columns of ``ATTRIBUTES`` and ``embedding``.
+    ``corpus``: doc_id (bigint), the columns of ``ATTRIBUTES`` and ``embedding``;
+    ``index``: the same as ``index_corpus`` makes it, where there is one already.
     """
-    docs = searchable(corpus, "doc_id", "query_text", "embedding")
-    hits = with_hits(messages, docs, text, key, embedding, k, rrf_k, resident=resident)
+    index = index or index_corpus(corpus)
+    hits = with_hits(messages, index, text, key, embedding, k, rrf_k, resident=resident)
     found = attach_attributes(classify(hits, text), corpus, ATTRIBUTES, k=k)
     contexts = found.withColumn("context", drafting.grounding_context(F.col("retrieved")))
     lower_prompt = F.lower(
@@ -60,14 +68,16 @@ def triage(
     messages: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text",
     embedding: str | None = None, k: int = rules.TOP_K, rrf_k: int = rules.RRF_K,
     threshold: float = rules.CONFIDENCE_THRESHOLD, signoff: str = rules.SIGNOFF,
-    resident: str | None = None,
+    resident: str | None = None, index: Index | None = None,
 ) -> DataFrame:
     """One ``schemas.TRIAGE`` row per message.
 
     With the corpus resident in the tasks the whole job is one narrow stage
     over the messages: no message is ever shuffled.
     """
-    drafted = with_drafts(messages, corpus, key, text, embedding, k, rrf_k, signoff, resident)
+    drafted = with_drafts(
+        messages, corpus, key, text, embedding, k, rrf_k, signoff, resident, index
+    )
     decided = arbitrate(
         drafted.withColumn("_draft_text", F.col("draft.draft_text")),
         text, "classification", "_draft_text", threshold,

@@ -32,7 +32,7 @@ def _index(spark, sf):
 @query("tok1", (f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 "
                  f"FROM (SELECT doc_id, {sql.tokens('text')} AS w FROM documents)"))
 def tok1(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select("doc_id", tokenize(F.col("text")).alias("w"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", tokenize(F.col("text")).alias("w"))
     return docs.select(
         "doc_id", F.size("w").cast("bigint").alias("n_tokens"),
         F.md5(F.array_join("w", " ").cast("binary")).alias("tokens_md5"),
@@ -52,12 +52,11 @@ def bm1(spark, sf):
                   "CAST(sum(df) AS BIGINT) AS n_postings FROM t_search_idf)"))
 def agg10(spark, sf):
     index = _index(spark, sf)
-    size = rt.corpus_size(index.docs).withColumn("_one", F.lit(1))
-    terms = index.terms.agg(
-        F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("max_df")
-    ).withColumn("_one", F.lit(1))
-    return size.join(terms, "_one").select(
-        "n_docs", "n_tokens", _r(F.col("avgdl")).alias("avgdl"), "n_terms", "n_postings", "max_df"
+    size = rt.corpus_size(index.docs).first()
+    terms = index.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("max_df"))
+    return terms.select(
+        *[F.lit(size[c]).cast("bigint").alias(c) for c in ("n_docs", "n_tokens", "n_postings")],
+        _r(F.lit(size["avgdl"])).alias("avgdl"), "n_terms", "max_df",
     )
 
 

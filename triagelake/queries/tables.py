@@ -31,7 +31,7 @@ cte("t_classified", classified("t_messages"))
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text``: all documents, and the inline messages."""
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "text")
     both = docs.unionByName(fixtures.frame(spark, "messages"))
     return both.withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -49,7 +49,7 @@ cte(
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, draft_text``: document texts taken as replies, and the inline drafts."""
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("draft_text")
     )
     return docs.unionByName(fixtures.frame(spark, "drafts"))
@@ -140,7 +140,7 @@ cte(
 def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text, embedding``: all documents as messages with their vectors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "text")
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).join(vectors, "id", "left")
 
 
@@ -254,7 +254,7 @@ cte(
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as golden items: the class follows from the source."""
     joined = table(spark, sf_dir, "labels").join(
-        spread(table(spark, sf_dir, "documents")), "doc_id"
+        spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id"
     )
     place = F.regexp_extract("source", "[0-9]+", 0).cast("bigint") % 6 + 1
     toxic = F.col("toxic") == 1

@@ -63,14 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan over all cores where it yields fewer partitions than there are.
 
     A file with one row group is read by one task.  On large tables the scan has
     more partitions than the cluster has cores and nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def ship_package(spark: SparkSession) -> None:
