@@ -71,7 +71,9 @@ def word_flags(
         ]
         return pa.StructArray.from_arrays(columns, list(patterns))
 
-    return flags(lower_text)
+    # Declared so for the optimizer's sake: it would otherwise repeat the pass below
+    # a filter on its own result.
+    return flags.asNondeterministic()(lower_text)
 
 
 def with_words(

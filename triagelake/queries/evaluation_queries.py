@@ -16,7 +16,7 @@ from triagelake.queries.registry import query
 from triagelake.queries.tables import (
     inbound, labelled, pairs, resolutions, table,
 )
-from triagelake.session import scratch_path
+from triagelake.session import cut_lineage, scratch_path
 from triagelake.sources import readers, writers
 
 
@@ -212,6 +212,10 @@ def _failures(spark, sf):
     return fl.tag_failures(_predicted(spark, sf), key="seq")
 
 
+def _stored_failures(spark, sf):
+    return cut_lineage(_failures(spark, sf))
+
+
 @query("fail1", (
     f"SELECT seq, mode, details, CASE WHEN mode = '{R.MODE_INTENT}' THEN confidence END AS confidence, "
     f"CASE WHEN mode = '{R.MODE_INTENT}' THEN expected_intent END AS gold_intent, "
@@ -260,13 +264,13 @@ def _flat_report(report):
 
 @query("fail2", _REPORT)
 def fail2(spark, sf):
-    return _flat_report(fl.summarise(_failures(spark, sf), "seq"))
+    return _flat_report(fl.summarise(_stored_failures(spark, sf), "seq"))
 
 
 @query("snk2", _REPORT)
 def snk2(spark, sf):
     """The failure report written as nested JSON and read back."""
-    report = fl.summarise(_failures(spark, sf), "seq")
+    report = fl.summarise(_stored_failures(spark, sf), "seq")
     path = scratch_path(spark, "failures")
     writers.write_json(report, path)
     return _flat_report(spark.read.schema(report.schema).json(path))
