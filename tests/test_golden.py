@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from triagelake import rules
 from triagelake.operators.golden import golden_set
 from triagelake.plans import evaluation as ev
+from triagelake.plans.triage import triage
 from triagelake.queries import fixtures
 from triagelake.session import cut_lineage
 
@@ -70,6 +71,17 @@ def test_comparison(evaluated):
     assert (one.cohens_kappa, two.cohens_kappa) == (-0.0077, 0.026)
 
 
+def test_stored_outcomes_are_joined_by_id(spark, golden, evaluated):
+    corpus = spark.createDataFrame(
+        CORPUS, "doc_id bigint, tweet_id string, query_text string, resolution_text string, intent string"
+    ).withColumn("embedding", F.lit(None).cast("array<float>"))
+    joined = ev.predictions(golden.orderBy(F.desc("id")), triage(golden, corpus, "id", "tweet_text"))
+    columns = evaluated[0].columns
+    assert sorted(map(repr, joined.select(columns).collect())) == sorted(
+        map(repr, evaluated[0].collect())
+    )
+
+
 def test_classes(evaluated):
     table = {
         r.label: r for r in ev.per_class(evaluated[1]).collect() if r.system == rules.SYSTEMS[2]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from triagelake import rules
 from triagelake.functions import pii, text
+from triagelake.functions.words import in_flags, in_text, rule_families, with_words
 from triagelake.operators import arbiter, draft, judge
 from triagelake.operators.classify import classify, parse_classification
 from triagelake.plans.triage import rules_only
@@ -178,3 +181,66 @@ def test_rules_job_has_no_shuffle(spark):
     frame = spark.range(10).selectExpr("id", "cast(id as string) as text")
     plan = rules_only(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def random_texts(n=400):
+    """Texts of rule words, pieces of them, and things like personal data."""
+    rng = random.Random(11)
+    words = [w for r in rules.INTENT_RULES for w in r.any_of + r.unless + r.or_any + r.or_unless]
+    words += rules.HAZARD_WORDS + rules.LEGAL_WORDS + rules.PROFANITY_WORDS + rules.CHURN_WORDS
+    odd = ["PIN\u000b= x", "a@b.co", "A.B@c-d.ORG", "415-555-0199", "(212) 555 0144", "000-12-3456",
+           "4532 0150-1234 5671", "4222222222222", "12345678901234567890", "x|y@z.c|m", "\u212a", "\u0130os",
+           "password is\n", "9999", "\u00e9t\u00e9", ""]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            word = rng.choice(words) if rng.random() < 0.6 else rng.choice(odd)
+            if rng.random() < 0.3:
+                word = word[rng.randint(0, 2): len(word) - rng.randint(0, 2)]
+            parts.append(word.upper() if rng.random() < 0.2 else word)
+        out.append((rng.choice(["", " ", "-"]).join(parts),))
+    return out
+
+
+def test_word_flags_agree_with_contains(spark):
+    frame = with_words(spark.createDataFrame(random_texts(), "text string"), "text")
+    families = rule_families(rules.INTENT_RULES) + [
+        rules.HAZARD_WORDS, rules.LEGAL_WORDS, rules.PROFANITY_WORDS, rules.CHURN_WORDS
+    ]
+    fast, plain = in_flags(), in_text(F.col("_lower"))
+    same = [(fast(w) == plain(w)).alias(f"c{i}") for i, w in enumerate(families)]
+    hits = [F.sum(plain(w).cast("int")).alias(f"n{i}") for i, w in enumerate(families)]
+    assert all(all(row) for row in frame.select(*same).collect())
+    assert all(n > 0 for n in frame.agg(*hits).first())
+
+
+def test_hints_lose_no_personal_data(spark):
+    frame = with_words(spark.createDataFrame(random_texts(), "text string"), "text")
+    rows = frame.select(
+        pii.pii_kinds(F.col("text")).alias("a"),
+        pii.pii_kinds(F.col("text"), F.col("_words")).alias("b"),
+    ).collect()
+    assert all(r.a == r.b for r in rows)
+    assert {k for r in rows for k in r.a} == set(rules.PII_KINDS)
+
+
+def test_luhn_of_random_numbers(spark):
+    rng = random.Random(5)
+    numbers = ["".join(rng.choices("0123456789", k=rng.randint(11, 21))) for _ in range(500)]
+
+    def plain(number):
+        digits = [int(c) for c in reversed(number)]
+        doubled = [sum(divmod(2 * d, 10)) for d in digits[1::2]]
+        return 13 <= len(digits) <= 19 and (sum(digits[::2]) + sum(doubled)) % 10 == 0
+
+    frame = spark.createDataFrame([(n,) for n in numbers], "n string")
+    got = frame.select("n", pii.luhn_valid(F.col("n")).alias("ok")).collect()
+    assert all(r.ok == plain(r.n) for r in got)
+
+
+def test_filter_on_the_outcome_reads_texts_once(spark):
+    frame = spark.range(10).selectExpr("id", "cast(id as string) as text")
+    found = classify(frame).filter(F.col("classification.confidence") > 0.9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

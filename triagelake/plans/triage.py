@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def triage(
     messages: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text",
     embedding: str | None = None, k: int = rules.TOP_K, rrf_k: int = rules.RRF_K,
     threshold: float = rules.CONFIDENCE_THRESHOLD, signoff: str = rules.SIGNOFF,
-    resident: str | None = None, index: Index | None = None,
+    resident: str | None = None, index: Index | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One ``schemas.TRIAGE`` row per message.
+    """One ``schemas.TRIAGE`` row per message, after the columns of ``keep``.
 
     With the corpus resident in the tasks the whole job is one narrow stage
     over the messages: no message is ever shuffled.
@@ -84,6 +86,7 @@ def triage(
     )
     routed = route(decided, "decision", "_draft_text")
     return routed.select(
+        *keep,
         message_id(F.col(key), F.col(text)).alias("tweet_id"),
         F.col(text).alias("inbound_text"),
         "classification",
