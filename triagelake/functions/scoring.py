@@ -74,11 +74,6 @@ def saturated(tf: np.ndarray, dl: np.ndarray, avgdl: float, k1: float, b: float)
     return tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / max(avgdl, 1e-300)))
 
 
-def descending_order(scores: np.ndarray, axis: int) -> np.ndarray:
-    """Positions by score descending; equal scores by position descending."""
-    return np.flip(np.argsort(scores, axis=axis, kind="stable"), axis=axis)
-
-
 def order_keys(scores: np.ndarray, bits: int) -> np.ndarray:
     """Distinct integers that sort like (score, column); the low bits are the column.
 
@@ -93,6 +88,53 @@ def order_keys(scores: np.ndarray, bits: int) -> np.ndarray:
     return (whole << bits) + np.arange(scores.shape[1])
 
 
+def leading(scores: np.ndarray, keep: int) -> np.ndarray:
+    """The columns of the ``keep`` first places of each row, in no order."""
+    width = scores.shape[1]
+    if width <= keep:
+        return np.broadcast_to(np.arange(width), scores.shape)
+    bits = (width - 1).bit_length()
+    keys = np.partition(order_keys(scores, bits), width - keep, axis=1)
+    return keys[:, width - keep :] & ((1 << bits) - 1)
+
+
+def places_before(
+    scores: np.ndarray, names: np.ndarray, wanted: np.ndarray, wanted_names: np.ndarray
+) -> np.ndarray:
+    """How many of ``scores`` come before each wanted score.
+
+    Order is score, then name, both descending; ``names`` is sorted ascending.
+    """
+    ordered = np.sort(scores)
+    below, upto = (np.searchsorted(ordered, wanted, side) for side in ("left", "right"))
+    before = len(scores) - upto
+    tied = upto > below
+    for score in np.unique(wanted[tied]):
+        equal = names[scores == score]
+        same = tied & (wanted == score)
+        before[same] += len(equal) - np.searchsorted(equal, wanted_names[same], "right")
+    return before
+
+
+def weighted_sums(
+    rows: np.ndarray, codes: np.ndarray, parts: np.ndarray, weights: np.ndarray, n: int, cells: int
+) -> np.ndarray:
+    """Sum of ``parts * weights[codes]`` per row, as a matrix product.
+
+    ``rows`` is sorted; ``n`` is the number of rows.  A bounded number of cells
+    at a time; the product beats adding term by term until the terms outnumber
+    those of a row by hundreds.
+    """
+    out = np.zeros((n, weights.shape[1]))
+    step = max(1, cells // max(len(weights), 1))
+    for start in range(0, n, step):
+        lo, hi = np.searchsorted(rows, [start, start + step])
+        counts = np.zeros((min(step, n - start), len(weights)))
+        counts[rows[lo:hi] - start, codes[lo:hi]] = parts[lo:hi]
+        out[start : start + step] = counts @ weights
+    return out
+
+
 def fused_top(
     legs: tuple[np.ndarray, np.ndarray], k: int, rrf_k: int
 ) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
