@@ -97,6 +97,16 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert rows(rt.retrieve(queries, docs, 3, resident="queries")) == brute(3)
 
 
+def test_large_corpus_is_never_sent(spark, monkeypatch):
+    monkeypatch.setattr(rt, "MAX_RESIDENT_DOCS", 10)
+    queries, docs = frames(spark)
+    index = rt.build_index(docs)
+    with pytest.raises(ValueError):
+        rt.retrieve(queries, index, resident="corpus")
+    monkeypatch.setattr(rt, "MAX_RESIDENT_QUERIES", 3)
+    assert rows(rt.retrieve(queries, index)) == brute(3)
+
+
 def test_small_batches_and_other_partitions(spark, monkeypatch):
     monkeypatch.setattr(rt, "BATCH_CELLS", 50)
     queries, docs = frames(spark, partitions=2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake import rules as R
 from triagelake.functions import pii
-from triagelake.functions.words import in_flags, in_text
+from triagelake.functions.words import in_flags, in_text, with_words
 from triagelake.functions.text import contains_any, ends_with_any, message_id
 from triagelake.operators import arbiter, draft, judge
 from triagelake.operators.baselines import with_baselines
@@ -203,7 +203,8 @@ pii6 = _flag("pii6", pii.has_phone, sql.has_phone("text"))
 @query("pii7", (f"SELECT id, array_to_string(kinds, ', ') AS kinds, len(kinds) AS n "
                  f"FROM (SELECT id, {sql.pii_list('text')} AS kinds FROM t_messages)"))
 def pii7(spark, sf):
-    return messages(spark, sf).withColumn("kinds", pii.pii_kinds(F.col("text"))).select(
+    found = with_words(messages(spark, sf), "text")
+    return found.withColumn("kinds", pii.pii_kinds(F.col("text"), F.col("_words"))).select(
         "id", F.array_join("kinds", ", ").alias("kinds"), F.size("kinds").cast("bigint").alias("n")
     )
 

@@ -10,7 +10,6 @@ import re
 
 from triagelake import rules as R
 from triagelake.queries.fixtures import _literal as lit
-from triagelake.queries.fixtures import values
 
 CTES: dict[str, str] = {}
 
