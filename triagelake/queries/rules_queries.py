@@ -20,7 +20,8 @@ from triagelake.queries.tables import (
     drafts, inbound, lowered, messages, pairs, replies, resolutions, table,
 )
 
-LC = F.col("lc")
+def lower_text():
+    return F.col("lc")
 
 
 def _classified(spark, sf):
@@ -34,8 +35,8 @@ def _classified(spark, sf):
                  f"{sql.has_any('lc', R.HOW_TO_WORDS)} AS how_to FROM t_classified"))
 def prd1(spark, sf):
     return lowered(spark, sf).select(
-        "id", contains_any(LC, R.LEGAL_WORDS).alias("legal"),
-        contains_any(LC, R.HOW_TO_WORDS).alias("how_to"),
+        "id", contains_any(lower_text(), R.LEGAL_WORDS).alias("legal"),
+        contains_any(lower_text(), R.HOW_TO_WORDS).alias("how_to"),
     )
 
 
@@ -45,8 +46,8 @@ def prd1(spark, sf):
     "(contains(lc, 'track') AND NOT contains(lc, 'trackpad'))) AS orders_hit FROM t_classified"))
 def prd2(spark, sf):
     return lowered(spark, sf).select(
-        "id", rule_hits(in_text(LC), R.INTENT_RULES[1]).alias("hardware"),
-        rule_hits(in_text(LC), R.INTENT_RULES[3]).alias("orders_hit"),
+        "id", rule_hits(in_text(lower_text()), R.INTENT_RULES[1]).alias("hardware"),
+        rule_hits(in_text(lower_text()), R.INTENT_RULES[3]).alias("orders_hit"),
     )
 
 
@@ -215,7 +216,7 @@ def pii7(spark, sf):
 def _words(name, words):
     @query(name, (f"SELECT id, {sql.has_any('lc', words)} AS hit FROM t_classified"))
     def run(spark, sf):
-        return lowered(spark, sf).select("id", contains_any(LC, words).alias("hit"))
+        return lowered(spark, sf).select("id", contains_any(lower_text(), words).alias("hit"))
 
     return run
 
