@@ -10,12 +10,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triagelake.llm.chat_format import OP6_SQL, op6_chat_format
 from triagelake.llm.fingerprints import op8_fingerprints
+from triagelake.llm.mixing import OP2_SQL, op2_mixing
+from triagelake.llm.packing import op5_packing
+from triagelake.llm.quality_rules import OP4_SQL, op4_quality_rules
+from triagelake.llm.sharding import op1_sharding
 from triagelake.llm.token_output import op10_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+    "op6_chat_format": op6_chat_format,
     "op8_fingerprints": op8_fingerprints,
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op6_chat_format": OP6_SQL,
+}
