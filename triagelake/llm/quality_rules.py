@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # a power of two
 MIN_WORDS = 20
 MOST_REPEATED = 30  # percent
 
@@ -74,6 +74,13 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def _joined(hashes: Column, width: int) -> Column:
+    """Hashes of windows twice as wide, from those of ``width`` words."""
+    left = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - width, F.lit(0)))
+    right = F.slice(hashes, F.lit(width + 1), F.greatest(F.size(hashes), F.lit(1)))
+    return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as struct ``_doc``, and a column per measure."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -81,7 +88,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     base = docs.select(
         F.struct("*").alias("_doc"),
         whole.alias("_text"),
-        F.filter(F.split(whole, SPACE), lambda w: w != "").alias("_words"),
+        F.array_remove(F.split(whole, SPACE), "").alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     hashed = base.select(
@@ -89,16 +96,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_words").cast("bigint").alias("n_words"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashed"),
     )
-    windows = hashed.select(
-        "*",
-        F.when(
-            F.col("n_words") >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)),
-                lambda i: F.xxhash64(F.slice("_hashed", i, WINDOW)),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
-    )
+    # hashes of 2, 4 and then 8 words, each from two of half the width
+    windows, width = hashed.withColumnRenamed("_hashed", "_windows"), 1
+    while width < WINDOW:
+        windows = windows.withColumn("_windows", _joined(F.col("_windows"), width))
+        width *= 2
     # sort only where some window repeats
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     order = F.array_sort(
