@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.chat_format import OP6_SQL, op6_chat_format
 from triagelake.llm.fingerprints import op8_fingerprints
+from triagelake.llm.language_id import op7_language_id
 from triagelake.llm.mixing import OP2_SQL, op2_mixing
 from triagelake.llm.packing import op5_packing
+from triagelake.llm.quality_classifier import op9_quality_classifier
 from triagelake.llm.quality_rules import OP4_SQL, op4_quality_rules
 from triagelake.llm.sharding import op1_sharding
 from triagelake.llm.token_output import op10_token_output
@@ -24,7 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_output": op10_token_output,
 }
 
