@@ -14,8 +14,8 @@ over the words of many documents side by side, one word of each at a time.
 Defined results: a null text, or one without letters, is ``und`` with score 0
 and no spans; words in a script that no language uses are neutral; ties go to
 the language first in code-point order; repeated rows get equal results; with no
-labelled text everything is ``und``; an empty table gives no rows; other
-columns, whatever their names, are passed through.
+labelled text everything is ``und``; an empty table gives no rows; ``identify``
+is a column, so a table keeps the columns it has.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelake.llm.columns import passed, whole_row
 from triagelake.llm.text_arrays import row_sums
 from triagelake.session import ship_package
 
@@ -58,6 +59,7 @@ SCRIPTS = (
     (0xFB50, 6), (0xFE00, 0), (0x20000, 15), (0x30000, 0),
 )
 SCRIPT_COUNT = 16
+LEAST_SCORE = 0.3  # of a document that the pipeline keeps
 
 
 class Model(NamedTuple):
@@ -309,6 +311,14 @@ def train_on(docs: DataFrame) -> Model:
     return train(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
 
 
+def identified_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a learned language that holds ``least`` of their letters."""
+    ship_package(docs.sparkSession)
+    found = docs.select(whole_row(), identify(F.col("text"), train_on(docs)).alias("_found"))
+    known = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= least)
+    return found.filter(known).select(*passed(docs))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document of ``documents``."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

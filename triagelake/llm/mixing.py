@@ -20,8 +20,8 @@ one task.  The table of sources (a row each) is the only thing summed in one.
 Defined results: a null or empty text has no words, is never taken and has no
 position; a null source is a source of its own, last; ties in the hash order go
 by ``doc_id``, then words; repeated rows are documents of their own; an empty
-table, or one without words, gives targets of 0; other columns, whatever their
-names, are passed through.
+table, or one without words, gives targets of 0; other columns are passed
+through, but for those with the name of a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triagelake.llm.columns import passed, whole_row
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
@@ -42,6 +44,7 @@ SCHEDULES = (
     ((0.0, 1.25), (0.5, 1.25), (1.0, 0.25)),
 )
 SEED = "mix"
+RESULTS = ("source_size", "target", "taken", "passes")
 BUCKET_DIGITS = 3  # hexadecimal: 4096 buckets
 
 Knots = tuple[tuple[float, float], ...]
@@ -124,7 +127,7 @@ def mix_documents(docs: DataFrame, size: str = "size") -> DataFrame:
     so that the source's words meet its target.
     """
     mine = docs.select(
-        F.struct("*").alias("_doc"),
+        whole_row(),
         *_key(F.col("source")),
         F.col(size).cast("bigint").alias("_size"),
         F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast(
@@ -167,12 +170,12 @@ def mix_documents(docs: DataFrame, size: str = "size") -> DataFrame:
     )
     passes = F.filter(passes, lambda p: p["words"] > 0)
     return rows.select(
-        F.col("_doc"),
-        F.col("source_size"),
-        F.col("target"),
+        *passed(docs, RESULTS),
+        "source_size",
+        "target",
         F.aggregate(passes, F.lit(0).cast("bigint"), lambda a, p: a + p["words"]).alias("taken"),
         passes.alias("passes"),
-    ).select("_doc.*", "source_size", "target", "taken", "passes")
+    )
 
 
 def _position(number: Column) -> Column:
@@ -202,6 +205,33 @@ def training_rows(mixed: DataFrame) -> DataFrame:
     return in_training_order(rows, F.col("position"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row per pass, in training order.
+
+    A pass that stops early has the first words of the text only, and n_chars,
+    where there is one, counts them.  All other passes have the whole text.
+    """
+    sized = docs.select(whole_row(), "doc_id", "source", words(F.col("text")).alias("size"))
+    rows = training_rows(mix_documents(sized))
+    text = F.col("_doc.text").cast("string")
+    some = F.slice(
+        F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
+        F.lit(1),
+        F.col("words").cast("int"),
+    )
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(some, "")).otherwise(text)
+    rows = rows.withColumn("_cut", cut)
+    own = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("bigint")}
+    changed = F.col("words") < F.col("size")
+    return rows.select(
+        *[
+            (F.when(changed, own[c]).otherwise(F.col("_doc").getField(c)) if c in own
+             else F.col("_doc").getField(c)).alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents``, a row per document by the position of its first pass."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

@@ -20,7 +20,8 @@ weight 0 and is rejected; repeated rows share weight and noise and are kept or
 rejected together, so ties at the cut may keep more than k; of repeated labels
 the worst counts, null labels are ignored; without good labels every weight is 0
 and all documents with words are kept; an empty table gives no rows; other
-columns, whatever their names, are passed through.
+columns are passed through, but for those with the name of a result, which
+replaces them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelake.llm.columns import passed, whole_row
 from triagelake.llm.text_arrays import chunks, mix, row_sums, utf8, word_hashes
 from triagelake.session import cut_lineage, ship_package
 
@@ -44,6 +46,7 @@ LABEL_ROWS = 100_000
 LOSS = 0.002
 MARGIN = 2.0
 SEED = 9
+RESULTS = ("log_weight", "sampling_key", "kept")
 WEIGHT = "struct<words:bigint,whole:double,first:double,second:double>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -213,7 +216,8 @@ def kth_largest(values: DataFrame, name: str, k: int) -> float:
 def _weighed(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` as struct ``_doc``, with weights and the noisy key."""
     rows = docs.select(
-        F.struct("*").alias("_doc"), log_weight(F.col("text"), model).alias("_w"),
+        whole_row(),
+        log_weight(F.col("text"), model).alias("_w"),
         F.xxhash64("text").alias("_text"),
     )
     noise = gumbel(F.col("_doc.doc_id").cast("bigint"), F.col("_text"))
@@ -242,14 +246,26 @@ def cut_point(docs: DataFrame, labels: DataFrame, model: Model) -> float:
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` with its log_weight, and whether the draw keeps it."""
     model = fit(docs, labels)
-    cut = cut_point(docs, labels, model)
-    kept = (F.col("_w.words") > 0) & (F.col("_key") >= F.lit(float(cut)))
+    kept = _drawn(cut_point(docs, labels, model))
     return _weighed(docs, model).select(
-        "_doc.*", F.col("_w.whole").alias("log_weight"), F.col("_key").alias("sampling_key"),
+        *passed(docs, RESULTS),
+        F.col("_w.whole").alias("log_weight"),
+        F.col("_key").alias("sampling_key"),
         kept.alias("kept"),
     )
 
 
+def _drawn(cut: float) -> Column:
+    return (F.col("_w.words") > 0) & (F.col("_key") >= F.lit(float(cut)))
+
+
+def sampled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps."""
+    model = fit(docs, labels)
+    cut = cut_point(docs, labels, model)
+    return _weighed(docs, model).filter(_drawn(cut)).select(*passed(docs))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight and draw of every document of ``documents``."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))

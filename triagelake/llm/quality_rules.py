@@ -11,7 +11,8 @@ that has a repeated one.
 
 Defined results: a null or empty text has no words and fails the base rule;
 repeated rows are judged alike; a null ``doc_id`` stays null; an empty table
-gives no rows; other columns, whatever their names, are passed through.
+gives no rows; other columns are passed through, but for those with the name of
+a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelake.llm.columns import passed, whole_row
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # a power of two
@@ -62,6 +65,7 @@ MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_stop_words", "n_marks", "n_lines", "n_cut_lines", "n_bullet_lines",
 )
+RESULTS = (*MEASURES, "base_failed", "kept")
 
 
 def stop_word_forms() -> list[str]:
@@ -86,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     forms = stop_word_forms()
     base = docs.select(
-        F.struct("*").alias("_doc"),
+        whole_row(),
         whole.alias("_text"),
         F.array_remove(F.split(whole, SPACE), "").alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -165,7 +169,10 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     """Every row of ``docs`` with its measures, base_failed and kept."""
     failed = base_failed()
     return measure(docs).select(
-        "_doc.*", *MEASURES, failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept")
+        *passed(docs, RESULTS),
+        *MEASURES,
+        failed.alias("base_failed"),
+        (~failed & compile_rules(rules)).alias("kept"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.chat_format import OP6_SQL, op6_chat_format
 from triagelake.llm.fingerprints import op8_fingerprints
+from triagelake.llm.jaccard_join import op3_jaccard_join
 from triagelake.llm.language_id import op7_language_id
 from triagelake.llm.mixing import OP2_SQL, op2_mixing
 from triagelake.llm.packing import op5_packing
@@ -23,6 +24,7 @@ from triagelake.llm.token_output import op10_token_output
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
@@ -34,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": OP4_SQL,
     "op6_chat_format": OP6_SQL,
 }
