@@ -6,6 +6,8 @@ it fits in; larger groups first.
 
 * A group too large for one shard is split into as few pieces as fit, by a hash
   of ``doc_id``; no other group is split.
+* The law is bytes: where the three dimensions cannot all be met, bytes stay even
+  and the others give way.
 * Groups above ``LARGE`` of a shard are few whatever the input (at most
   ``shards / LARGE`` per dimension) and are placed first, in one go.
 * All others are dealt into cells of about ``CELL_GROUPS`` by a hash.  A cell
@@ -57,17 +59,25 @@ def dot_product_packing(
     loads: np.ndarray, capacity: np.ndarray, order: np.ndarray | None = None
 ) -> np.ndarray:
     """Shard of each group.  ``loads``: groups x dimensions; ``capacity``: shards x
-    dimensions, and is used up in place.  Large first, then by row number."""
+    dimensions, and is used up in place.  Large first, then by row number.
+
+    Where no shard has room in every dimension, those with room in the first
+    (bytes) stand in; where none has, the one with most of it left takes the group.
+    """
     shards = np.empty(len(loads), np.int32)
     if order is None:
         order = np.argsort(-loads.max(axis=1), kind="stable")
     for k in order:
         load = loads[k]
         dots = capacity @ load
-        fits = (capacity >= load).all(axis=1)
+        room = capacity >= load
+        fits = room.all(axis=1)
+        if not fits.any():
+            fits = room[:, 0]
         if fits.any():
-            dots = np.where(fits, dots, -np.inf)
-        best = int(dots.argmax())
+            best = int(np.where(fits, dots, -np.inf).argmax())
+        else:
+            best = int(capacity[:, 0].argmax())
         capacity[best] -= load
         shards[k] = best
     return shards
