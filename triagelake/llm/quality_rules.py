@@ -18,6 +18,7 @@ a result, which replaces them.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
@@ -25,7 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.columns import passed, whole_row
+from triagelake.llm.columns import ROW, passed, whole_row
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -78,6 +79,15 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once and written once in the plan.
+
+    Spark copies an expression to wherever a filter above needs it; a chain of
+    steps that each name the one before several times would grow without end.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _joined(hashes: Column, width: int) -> Column:
     """Hashes of windows twice as wide, from those of ``width`` words."""
     left = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - width, F.lit(0)))
@@ -85,6 +95,48 @@ def _joined(hashes: Column, width: int) -> Column:
     return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
+def _windows(hashes: Column, width: int, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the hashes of all windows of ``WINDOW`` words, by doubling."""
+    if width == WINDOW:
+        return body(hashes)
+    return _let(_joined(hashes, width), lambda h: _windows(h, 2 * width, body))
+
+
+def _repeated_starts(windows: Column) -> Column:
+    """Ascending places of the windows that occur twice or more."""
+    order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def twice(sorted_: Column) -> Column:
+        def place(s: Column, k: Column) -> Column:
+            same = (F.get(sorted_, k - 1)["h"] == s["h"]) | (F.get(sorted_, k + 1)["h"] == s["h"])
+            return F.when(same, s["i"])
+
+        return F.array_sort(F.array_compact(F.transform(sorted_, place)))
+
+    # sort only where some window repeats
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    return F.when(repeats, _let(order, twice)).otherwise(F.array().cast("array<int>"))
+
+
+def _covered(starts: Column) -> Column:
+    """Words inside windows that start at these places."""
+
+    def length(s: Column, k: Column) -> Column:
+        return F.least(F.coalesce(F.get(starts, k + 1) - s, F.lit(WINDOW)), F.lit(WINDOW))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.transform(starts, length), zero, lambda a, n: a + n)
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words lie in a window of ``WINDOW`` words that the text has twice or more."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(
+        hashes,
+        lambda h: _windows(h, 1, lambda w: _let(_repeated_starts(w), _covered)),
+    )
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as struct ``_doc``, and a column per measure."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -95,48 +147,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_remove(F.split(whole, SPACE), "").alias("_words"),
         F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
-    hashed = base.select(
-        "*",
+    return base.select(
+        ROW,
         F.size("_words").cast("bigint").alias("n_words"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashed"),
-    )
-    # hashes of 2, 4 and then 8 words, each from two of half the width
-    windows, width = hashed.withColumnRenamed("_hashed", "_windows"), 1
-    while width < WINDOW:
-        windows = windows.withColumn("_windows", _joined(F.col("_windows"), width))
-        width *= 2
-    # sort only where some window repeats
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    order = F.array_sort(
-        F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    )
-    ordered = windows.select("*", F.when(repeats, order).alias("_order"))
-    twice = F.filter(
-        F.transform(
-            "_order",
-            lambda s, k: F.when(
-                (F.get("_order", k - 1)["h"] == s["h"]) | (F.get("_order", k + 1)["h"] == s["h"]),
-                s["i"],
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    starts = ordered.select("*", F.array_sort(twice).alias("_starts"))
-    covered = F.aggregate(
-        F.transform(
-            "_starts",
-            lambda s, k: F.least(F.coalesce(F.get("_starts", k + 1) - s, F.lit(WINDOW)), F.lit(WINDOW)),
-        ),
-        F.lit(0).cast("bigint"),
-        lambda a, n: a + n,
-    )
-    return starts.select(
-        "_doc",
-        "n_words",
         F.length(F.regexp_replace("_text", SPACE, "")).cast("bigint").alias("word_chars"),
         _count_of(F.col("_text"), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.size(F.filter("_words", lambda w: w.isin(forms))).cast("bigint").alias("n_stop_words"),
         _count_of(F.col("_text"), "!?").cast("bigint").alias("n_marks"),
         F.size("_lines").cast("bigint").alias("n_lines"),
