@@ -263,7 +263,7 @@ def _identify(texts: list[str], model: Model) -> pa.StructArray:
     start[rows[:-1][np.diff(rows) > 0]] = True
     begins = np.flatnonzero(start)
     of_text = np.searchsorted(begins, rows)
-    lasts = np.append(begins[1:], len(labels)) - 1
+    lasts = np.append(begins, len(labels))[1:] - 1
     spans = pa.StructArray.from_arrays(
         [
             pa.array(names[labels[begins]], pa.string()),
