@@ -10,8 +10,8 @@ from triagelake.plans.triage import rules_only, triage
 from triagelake.streaming import triage_stream as ts
 
 MESSAGES = [
-    ("m1", "How do I enable AirDrop for 10 minutes on my phone?"),
-    ("m2", "Unauthorized charge of $200, refund immediately!"),
+    ("m1", "how do i turn on airdrop for a colleague"),
+    ("m2", "somebody used my account, i see a charge from lima"),
     ("m3", "screen cracked"), ("m4", "call 415-555-0199"), ("m5", ""), (None, "hello there"),
 ]
 CORPUS = [

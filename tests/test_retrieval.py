@@ -91,20 +91,113 @@ def test_exact_for_either_resident_side(spark, resident, k):
     assert rows(rt.retrieve(queries, docs, k, resident=resident)) == brute(k)
 
 
-def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(rt, "MAX_RESIDENT_QUERIES", 2)
+SMALL = {"MAX_RESIDENT_DOCS": 5, "MAX_RESIDENT_QUERIES": 2, "MAX_SHARD_DOCS": 60, "MERGE_PIECES": 2}
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Bounds so small that neither side fits a task."""
+    for name, bound in SMALL.items():
+        monkeypatch.setattr(rt, name, bound)
+
+
+@pytest.mark.parametrize("k", [3, 10])
+@pytest.mark.parametrize("resident", [None, "corpus", "queries"])
+def test_grid_of_buckets_and_shards(spark, small, resident, k):
     queries, docs = frames(spark)
-    assert rows(rt.retrieve(queries, docs, 3, resident="queries")) == brute(3)
+    assert rows(rt.retrieve(queries, docs, k, resident=resident)) == brute(k)
 
 
-def test_large_corpus_is_never_sent(spark, monkeypatch):
-    monkeypatch.setattr(rt, "MAX_RESIDENT_DOCS", 10)
+def test_grid_of_one_bucket_and_small_batches(spark, small, monkeypatch):
+    monkeypatch.setattr(rt, "MAX_RESIDENT_QUERIES", 100)
+    monkeypatch.setattr(rt, "BATCH_CELLS", 50)
     queries, docs = frames(spark)
+    assert rows(rt.retrieve(queries, docs, 3)) == brute(3)
+
+
+ODD_IDS = ["a", "b", None, "a", None]  # strings, null, repeated
+
+
+def odd_messages(spark):
+    return spark.createDataFrame(
+        [(ODD_IDS[n], i, t, vector(i + 1)) for n, (i, t) in enumerate(QUERIES)],
+        "id string, n int, text string, e array<double>",
+    )
+
+
+def found_hits(messages, docs, **options):
+    hits = rt.with_hits(messages, docs, embedding="e", **options).collect()
+    return sorted((r.n, str(r.id), [tuple(h) for h in r.hits]) for r in hits)
+
+
+def test_any_key_on_either_side_of_the_bounds(spark, monkeypatch):
+    _, docs = frames(spark)
+    messages = odd_messages(spark)
+    whole = found_hits(messages, docs)
+    assert [[h[0] for h in hits] for *_, hits in whole] == [
+        [d for q, _, d, *_ in brute(3) if q == i] for i, _ in QUERIES
+    ]
+    assert found_hits(messages, docs, resident="queries") == whole
+    for name, bound in SMALL.items():
+        monkeypatch.setattr(rt, name, bound)
+    assert found_hits(messages, docs) == whole
+
+
+def test_vector_bytes_are_a_bound(spark, monkeypatch):
+    _, docs = frames(spark)
+    index = rt.build_index(docs)
+    assert index.vector_bytes == 8 * 8 * sum(vector(i) is not None for i, _ in DOCS)
+    monkeypatch.setattr(rt, "MAX_RESIDENT_VECTOR_BYTES", index.vector_bytes - 1)
+    assert not rt.corpus_fits(index)
+
+
+def test_number_of_jobs_does_not_grow_with_the_messages(spark, small):
+    _, docs = frames(spark)
     index = rt.build_index(docs)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(copies):
+        group = f"messages-{copies}"
+        spark.sparkContext.setJobGroup(group, group)
+        messages = odd_messages(spark).crossJoin(spark.range(copies)).drop("id")
+        assert rt.with_hits(messages, index, embedding="e").count() == copies * len(QUERIES)
+        found = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert abs(jobs(20) - jobs(2)) <= 4  # adaptive plans may split a job, no more
+
+
+def test_repeated_corpus_keys_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b")], "id bigint, t string")
     with pytest.raises(ValueError):
-        rt.retrieve(queries, index, resident="corpus")
-    monkeypatch.setattr(rt, "MAX_RESIDENT_QUERIES", 3)
-    assert rows(rt.retrieve(queries, index)) == brute(3)
+        rt.build_index(rt.searchable(docs, "id", "t"))
+
+
+def test_index_holds_what_its_rankings_need(spark):
+    _, docs = frames(spark)
+    lexical = rt.build_index(docs, legs=(rt.LEXICAL,))
+    dense = rt.build_index(docs, legs=(rt.DENSE,))
+    assert lexical.vector_bytes == 0 and lexical.n_postings > 0
+    assert dense.n_postings == 0 and dense.vector_bytes > 0
+
+
+def test_totals_are_over_the_whole_corpus(spark, small):
+    queries, docs = frames(spark)
+    every = brute(len(DOCS))
+    for r in rt.rank_legs(queries, rt.build_index(docs), 2).collect():
+        scores = [x[5 if r.leg == "lexical" else 6] for x in every if x[0] == r.query_id]
+        assert (r.ranked, r.matches) == (len(DOCS), sum(s != 0 for s in scores))
+        assert r.score_sum == pytest.approx(1e6 * sum(scores), abs=len(DOCS))
+        assert len(r.leading) == 2
+
+
+def test_both_ranks_of_all_candidates(spark, small):
+    queries, docs = frames(spark)
+    found = rt.ranked_candidates(queries, rt.build_index(docs), 7).collect()
+    want = {(q, d, a, b) for q, _, d, a, b, *_ in brute(len(DOCS)) if a <= 7 or b <= 7}
+    assert {(r.query_id, r.doc_id, r.bm25_rank, r.dense_rank) for r in found} == want
+    assert len(found) == len(want)
 
 
 def test_small_batches_and_other_partitions(spark, monkeypatch):

@@ -23,12 +23,12 @@ def one(spark, value, expression):
 @pytest.mark.parametrize(
     "message, intent",
     [
-        ("My phone screen is shattered and touch is unresponsive", "DEVICE_HARDWARE_ISSUE"),
-        ("I was charged $89 for an unauthorized subscription", "ACCOUNT_SECURITY_BILLING"),
-        ("stuck on apple logo bootloop after updating to iOS 17", "SOFTWARE_OS_BUG"),
-        ("How do I turn on AirDrop to share photos?", "HOW_TO_CONFIGURATION"),
-        ("Where is my delivery tracking number?", "ORDER_DELIVERY_STATUS"),
-        ("tell me a joke", "CHITCHAT_OUT_OF_SCOPE"),
+        ("there is a crack in the glass, the screen is cracked", "DEVICE_HARDWARE_ISSUE"),
+        ("my password was changed and an unknown charge came", "ACCOUNT_SECURITY_BILLING"),
+        ("the ios beta makes every app crash", "SOFTWARE_OS_BUG"),
+        ("how do i set up a focus mode", "HOW_TO_CONFIGURATION"),
+        ("the courier lost my parcel shipment", "ORDER_DELIVERY_STATUS"),
+        ("good morning everyone", "CHITCHAT_OUT_OF_SCOPE"),
     ],
 )
 def test_classifier_is_sure(spark, message, intent):

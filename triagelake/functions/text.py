@@ -31,9 +31,13 @@ def ends_with_any(text: Column, endings: Iterable[str]) -> Column:
     return any_of(text.endswith(e) for e in endings)
 
 
+#: All characters that count as white space in Unicode text, for a character class.
+WHITE_SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
 
 
 def tokenize(text: Column) -> Column:

@@ -53,9 +53,17 @@ def rule_families(intent_rules: Iterable[rules.IntentRule]) -> list[tuple[str, .
 
 
 def word_flags(
-    lower_text: Column, families: Iterable[Sequence[str]], hints: Mapping[str, str]
+    lower_text: Column,
+    families: Iterable[Sequence[str]],
+    hints: Mapping[str, str],
+    once: bool = False,
 ) -> Column:
-    """A struct with a boolean per word list and per pattern of ``hints``."""
+    """A struct with a boolean per word list and per pattern of ``hints``.
+
+    Filters on other columns pass below it.  A filter on its own result would
+    repeat the matching there; ``once`` keeps the optimizer from that, and with
+    it all filters above.
+    """
     patterns = {family(w): "|".join(map(re.escape, w)) for w in families} | dict(hints)
     anything = "|".join(f"(?:{p})" for p in patterns.values())
     schema = T.StructType([T.StructField(n, T.BooleanType(), False) for n in patterns])
@@ -71,9 +79,7 @@ def word_flags(
         ]
         return pa.StructArray.from_arrays(columns, list(patterns))
 
-    # Declared so for the optimizer's sake: it would otherwise repeat the pass below
-    # a filter on its own result.
-    return flags.asNondeterministic()(lower_text)
+    return (flags.asNondeterministic() if once else flags)(lower_text)
 
 
 def with_words(
@@ -81,6 +87,7 @@ def with_words(
     text: str,
     intent_rules: Iterable[rules.IntentRule] = rules.INTENT_RULES,
     flags: str = FLAGS,
+    once: bool = False,
 ) -> DataFrame:
     """Add ``_lower`` and the flags of all intent and safety word lists."""
     ship_package(df.sparkSession)
@@ -88,4 +95,4 @@ def with_words(
         rules.HAZARD_WORDS, rules.LEGAL_WORDS, rules.PROFANITY_WORDS, rules.CHURN_WORDS,
     ]
     lowered = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return lowered.withColumn(flags, word_flags(F.col("_lower"), families, rules.PII_HINTS))
+    return lowered.withColumn(flags, word_flags(F.col("_lower"), families, rules.PII_HINTS, once))

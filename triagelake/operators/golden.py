@@ -28,10 +28,13 @@ def expand_to_quota(
     """
     known = templates.filter(F.col(label).isin(*classes))
     placed = number_within(known, [label], [F.col(order)], "_rn")
-    sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    # one count per class at most, so the sizes go along as a constant
+    sizes = placed.groupBy(label).agg(F.max("_rn").alias("n")).collect()
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r[label], r["n"])])
+    size = size[F.col(label)] if sizes else F.lit(None).cast("bigint")
     p, s = F.col("_rn") - 1, F.col("_size")
     copies = F.floor((F.lit(quota) - 1 - p) / s) + 1
-    sized = placed.join(sizes, label).filter(p < quota).withColumn("_copies", copies)
+    sized = placed.withColumn("_size", size).filter(p < quota).withColumn("_copies", copies)
     runs = sized.withColumn(
         "_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / _RUN)))
     )

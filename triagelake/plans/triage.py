@@ -37,7 +37,7 @@ def index_corpus(corpus: DataFrame, path: str | None = None) -> Index:
 
 
 def with_drafts(
-    messages: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text",
+    messages: DataFrame, corpus: DataFrame, text: str = "text",
     embedding: str | None = None, k: int = rules.TOP_K, rrf_k: int = rules.RRF_K,
     signoff: str = rules.SIGNOFF, resident: str | None = None, index: Index | None = None,
 ) -> DataFrame:
@@ -47,8 +47,8 @@ def with_drafts(
     ``index``: the same as ``index_corpus`` makes it, where there is one already.
     """
     index = index or index_corpus(corpus)
-    hits = with_hits(messages, index, text, key, embedding, k, rrf_k, resident=resident)
-    found = attach_attributes(classify(hits, text), corpus, ATTRIBUTES, k=k)
+    hits = with_hits(messages, index, text, embedding, k, rrf_k, resident=resident)
+    found = attach_attributes(classify(hits, text), corpus, ATTRIBUTES, k=k, index=index)
     contexts = found.withColumn("context", drafting.grounding_context(F.col("retrieved")))
     lower_prompt = F.lower(
         drafting.prompt(F.col(text), F.col("classification.intent"), F.col("context"))
@@ -78,7 +78,7 @@ def triage(
     over the messages: no message is ever shuffled.
     """
     drafted = with_drafts(
-        messages, corpus, key, text, embedding, k, rrf_k, signoff, resident, index
+        messages, corpus, text, embedding, k, rrf_k, signoff, resident, index
     )
     decided = arbitrate(
         drafted.withColumn("_draft_text", F.col("draft.draft_text")),

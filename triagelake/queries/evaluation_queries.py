@@ -370,19 +370,45 @@ def snk3(spark, sf):
 # --- the whole job -----------------------------------------------------------
 
 sql.cte("t_triaged", sql.decided("t_drafted"))
+sql.cte(
+    "t_found",
+    "SELECT query_id AS id, string_agg(concat_ws(' ', tweet_id, intent, "
+    "md5(query_text || chr(10) || resolution_text), "
+    "CAST(floor(bm25_score * 1e6 + 0.5) AS BIGINT), CAST(floor(dense_score * 1e6 + 0.5) AS BIGINT), "
+    "CAST(floor(rrf_score * 1e9 + 0.5) AS BIGINT)), '; ' ORDER BY rank) AS found "
+    "FROM t_past_fused JOIN t_resolutions USING (doc_id) WHERE rank <= 3 GROUP BY query_id",
+)
 
 
 @query("pip1", (
     "SELECT CAST(id AS VARCHAR) AS tweet_id, intent, sources, draft_text, action AS final_action, "
     f"layer, is_critical, CASE WHEN action = 'AUTO_HANDLE' THEN draft_text ELSE '{R.ROUTED_PREFIX}' "
-    "|| array_to_string(reasons, '; ') END AS final_response FROM t_triaged"))
+    "|| array_to_string(reasons, '; ') END AS final_response, confidence, reasoning, "
+    "array_to_string(reasons, ' | ') AS reasons, confidence_passed, grounding_passed, "
+    "sanitized_draft, found FROM t_triaged JOIN t_found USING (id)"))
 def pip1(spark, sf):
     done = triage(inbound(spark, sf), resolutions(spark, sf), embedding="embedding")
     return done.select(
         "tweet_id", "classification.intent",
         F.array_join("draft.grounded_sources", ",").alias("sources"), "draft.draft_text",
         "final_action", "arbiter_decision.layer", "arbiter_decision.is_critical",
-        "final_response",
+        "final_response", "classification.confidence", "classification.reasoning",
+        F.array_join("arbiter_decision.reasons", " | ").alias("reasons"),
+        "arbiter_decision.confidence_passed", "arbiter_decision.grounding_passed",
+        "arbiter_decision.sanitized_draft",
+        F.array_join(F.transform("retrieved_resolutions", _found), "; ").alias("found"),
+    )
+
+
+def _found(row):
+    """A retrieved row in one line, its scores in whole millionths (fused: billionths)."""
+    def units(score, digits):
+        return F.floor(row[score] * (10.0**digits) + 0.5).cast("bigint").cast("string")
+
+    texts = F.concat(row["query_text"], F.lit("\n"), row["resolution_text"])
+    return F.concat_ws(
+        " ", row["tweet_id"], row["intent"], F.md5(texts.cast("binary")),
+        units("bm25_score", 6), units("dense_score", 6), units("rrf_score", 9),
     )
 
 
@@ -406,7 +432,26 @@ sql.cte(
 def _judged(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
     golden = labelled(spark, sf).join(vectors, "seq", "left")
-    return ev.judged_predictions(golden, resolutions(spark, sf), "embedding")
+    return ev.judged_predictions(golden, resolutions(spark, sf), "embedding", keep=["seq"])
+
+
+_JOB_FAILURES = f"""
+    SELECT *, CASE WHEN mode = '{R.MODE_INTENT}'
+                   THEN 'Classified as ' || intent || ' instead of ' || expected_intent
+                   ELSE 'Safe query escalated due to: ' || array_to_string(reasons, '; ')
+              END AS details
+    FROM (SELECT *, CASE WHEN expected_intent <> intent THEN '{R.MODE_INTENT}'
+                         WHEN expected_action = 'AUTO_HANDLE' AND action = 'ESCALATE'
+                         THEN '{R.MODE_OVER_ESCALATION}' END AS mode
+          FROM t_triaged t JOIN (SELECT seq, expected_intent, expected_action FROM t_labelled) l
+          ON l.seq = t.id)
+    WHERE mode IS NOT NULL"""
+
+
+@query("fail2_job", _REPORT.replace("FROM t_failures", f"FROM ({_JOB_FAILURES})"))
+def fail2_job(spark, sf):
+    """The failure report of the whole triage job, drafts and grounding included."""
+    return _flat_report(ev.failure_report(_judged(spark, sf)[0], "seq"))
 
 
 _MEANS = ", ".join(f"round(avg({s}), 2) AS {s}" for s in ("grounding", "tone", "actionability"))
@@ -455,8 +500,12 @@ def set1(spark, sf):
                     "SELECT 1 AS g, rating AS a, CAST(round_even(overall, 0) AS INTEGER) AS b FROM ("
                     + sql.judged(f"({fixtures.values('calibration')})", "query", "response") + ")")}))
                 ELSE cohens_kappa END AS cohens_kappa,
-           CASE WHEN system = '{R.SYSTEMS[2]}' THEN 6 ELSE 0 END AS n_classes
-    FROM ({_COMPARISON})""".replace("THEN 6 ELSE 0 END", "THEN CAST(6 AS BIGINT) ELSE 0 END")))
+           CASE WHEN system = '{R.SYSTEMS[2]}' THEN (
+             SELECT string_agg(concat_ws(' ', label, {', '.join(
+                 f"CAST(floor({c} * 1e6 + 0.5) AS BIGINT)" for c in ("precision", "recall", "f1_score"))},
+                 CAST(support AS BIGINT)), '; ' ORDER BY label)
+             FROM ({_class_sql('t_systems', 'system')}) WHERE system = '{R.SYSTEMS[2]}') END AS classes
+    FROM ({_COMPARISON})"""))
 def snk1(spark, sf):
     """The nested results record written as JSON and read back."""
     judged = _judged(spark, sf)[1]
@@ -471,5 +520,17 @@ def snk1(spark, sf):
     return rows.select(
         "system", "golden_set_size", _r(F.col("m.macro_f1")).alias("macro_f1"),
         "m.deflection_rate", "m.grounding", "m.cohens_kappa",
-        F.coalesce(F.size("m.per_intent_metrics"), F.lit(0)).cast("bigint").alias("n_classes"),
-    ).withColumn("n_classes", F.greatest("n_classes", F.lit(0).cast("bigint")))
+        F.array_join(
+            F.array_sort(F.transform(F.map_entries("m.per_intent_metrics"), _class_line)), "; "
+        ).alias("classes"),
+    )
+
+
+def _class_line(entry):
+    """A class's values in one line, ratios in whole millionths."""
+    values = entry["value"]
+    ratios = [
+        F.floor(values[c] * 1e6 + 0.5).cast("bigint").cast("string")
+        for c in ("precision", "recall", "f1_score")
+    ]
+    return F.concat_ws(" ", entry["key"], *ratios, values["support"].cast("bigint").cast("string"))

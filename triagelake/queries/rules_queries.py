@@ -333,7 +333,7 @@ _CONTEXT = (
 sql.cte("t_context", _CONTEXT)
 sql.cte(
     "t_drafted",
-    "SELECT i.id, i.text, i.intent, i.confidence, i.lc, c.context, c.sources, "
+    "SELECT i.id, i.text, i.intent, i.confidence, i.reasoning, i.lc, c.context, c.sources, "
     + sql.signed(sql.reply_case("lower(i.text || '\n' || i.intent || '\n' || c.context)"))
     + f" AS draft_text FROM ({sql.classified('t_inbound')}) i JOIN t_context c USING (id)",
 )

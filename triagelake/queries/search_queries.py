@@ -22,8 +22,8 @@ def _r(column, digits=6):
     return F.floor(column * scale + 0.5).cast("double") / scale
 
 
-def _index(spark, sf):
-    return rt.build_index(search_docs(spark, sf))
+def _index(spark, sf, *legs):
+    return rt.build_index(search_docs(spark, sf), legs=legs or (rt.LEXICAL,))
 
 
 # --- tokens and statistics ---------------------------------------------------
@@ -78,63 +78,73 @@ def jn2(spark, sf):
 # --- one ranking at a time ---------------------------------------------------
 
 
+# How many leading documents these queries list; the totals beside them are over
+# every document, so nothing of a ranking goes unread or uncounted.
+MATCHES, RANKED, CANDIDATES = 50, 100, 200
+_TOTALS = ("ranked", "matches", "score_sum")
+
+
 def _leaders(spark, sf, keep, *legs):
-    return rt.leading_documents(search_queries(spark, sf), _index(spark, sf), keep, legs)
+    return rt.leading_documents(search_queries(spark, sf), _index(spark, sf, *legs), keep, legs)
 
 
-def _ranked(leg, keep, extra=""):
+def _leg_sql(leg):
+    """A full ranking, with what the whole of it comes to beside every row."""
     score = {"lexical": "bm25", "dense": "dense"}[leg]
-    return (f"SELECT query_id, doc_id, {sql.rounded(score + '_score')} AS score, {score}_rank AS rank "
-             f"FROM t_search_ranked WHERE {score}_rank <= {keep} {extra}")
+    return (f"SELECT query_id, '{leg}' AS leg, doc_id, {score}_score AS score, {score}_rank AS rank, "
+            "count(*) OVER q AS ranked, "
+            f"CAST(sum(CASE WHEN {score}_score <> 0 THEN 1 ELSE 0 END) OVER q AS BIGINT) AS matches, "
+            f"CAST(sum(CAST(floor({score}_score * 1e6 + 0.5) AS BIGINT)) OVER q AS BIGINT) "
+            "AS score_sum FROM t_search_ranked WINDOW q AS (PARTITION BY query_id)")
+
+
+def _ranked(leg, keep, extra=""):
+    return (f"SELECT query_id, doc_id, {sql.rounded('score')} AS score, rank, {', '.join(_TOTALS)} "
+            f"FROM ({_leg_sql(leg)}) WHERE rank <= {keep} {extra}")
 
 
 def _columns(leaders):
     return leaders.select(
         "query_id", "doc_id", _r(F.col("score")).alias("score"),
-        F.col("rank").cast("bigint").alias("rank"),
+        F.col("rank").cast("bigint").alias("rank"), *_TOTALS,
     )
 
 
-@query("bm3", _ranked("lexical", 50, "AND bm25_score <> 0"))
+@query("bm3", _ranked("lexical", MATCHES, "AND score <> 0"))
 def bm3(spark, sf):
-    """The 50 best matches per query, matches only."""
-    return _columns(_leaders(spark, sf, 50, rt.LEXICAL).filter(F.col("score") != 0))
+    """The best matches per query; the totals count and add up all matches."""
+    return _columns(_leaders(spark, sf, MATCHES, rt.LEXICAL).filter(F.col("score") != 0))
 
 
-@query("bm4", _ranked("lexical", 100))
+@query("bm4", _ranked("lexical", RANKED))
 def bm4(spark, sf):
-    """The first 100 of the full ranking; documents without a match fill it up."""
-    return _columns(_leaders(spark, sf, 100, rt.LEXICAL))
+    """The head of the full ranking; documents without a match fill it up."""
+    return _columns(_leaders(spark, sf, RANKED, rt.LEXICAL))
 
 
-@query("vec3", _ranked("dense", 100))
+@query("vec3", _ranked("dense", RANKED))
 def vec3(spark, sf):
-    return _columns(_leaders(spark, sf, 100, rt.DENSE))
+    return _columns(_leaders(spark, sf, RANKED, rt.DENSE))
 
 
-@query("jn1", (f"SELECT query_id, 'lexical' AS leg, doc_id, {sql.rounded('bm25_score')} AS score "
-                "FROM t_search_ranked WHERE bm25_rank = 1 UNION ALL "
-                f"SELECT query_id, 'dense', doc_id, {sql.rounded('dense_score')} "
-                "FROM t_search_ranked WHERE dense_rank = 1"))
+@query("jn1", " UNION ALL ".join(
+    f"SELECT query_id, leg, doc_id, {sql.rounded('score')} AS score, {', '.join(_TOTALS)} "
+    f"FROM ({_leg_sql(leg)}) WHERE rank = 1" for leg in ("lexical", "dense")))
 def jn1(spark, sf):
-    """The best document per query and ranking, over all pairs."""
+    """All pairs of a query and a document, reduced per ranking: the best and the totals."""
     return _leaders(spark, sf, 1, rt.LEXICAL, rt.DENSE).select(
-        "query_id", "leg", "doc_id", _r(F.col("score")).alias("score")
+        "query_id", "leg", "doc_id", _r(F.col("score")).alias("score"), *_TOTALS
     )
 
 
 @query("jn5", ("SELECT query_id, doc_id, bm25_rank, dense_rank FROM t_search_ranked "
-                "WHERE bm25_rank <= 200 AND dense_rank <= 200"))
+                f"WHERE bm25_rank <= {CANDIDATES} OR dense_rank <= {CANDIDATES}"))
 def jn5(spark, sf):
-    """Documents among the first 200 of both rankings."""
-    leaders = _leaders(spark, sf, 200, rt.LEXICAL, rt.DENSE)
-
-    def leg(name, rank):
-        return leaders.filter(F.col("leg") == name).select(
-            "query_id", "doc_id", F.col("rank").cast("bigint").alias(rank)
-        )
-
-    return leg(rt.LEXICAL, "bm25_rank").join(leg(rt.DENSE, "dense_rank"), ["query_id", "doc_id"])
+    """Both ranks of every candidate: a document among the first of either ranking."""
+    index = _index(spark, sf, rt.LEXICAL, rt.DENSE)
+    return rt.ranked_candidates(search_queries(spark, sf), index, CANDIDATES).select(
+        "query_id", "doc_id", "bm25_rank", "dense_rank"
+    )
 
 
 # --- vectors -----------------------------------------------------------------
@@ -232,10 +242,12 @@ def jn4(spark, sf):
     return _top(spark, sf).select("query_id", "rank", "doc_id").join(attributes, "doc_id")
 
 
-@query("src4", "SELECT count(*) AS n_queries, CAST(0 AS BIGINT) AS n_hits FROM benchmark")
+@query("src4", "SELECT count(*) AS n_queries, (SELECT count(*) FROM documents d "
+               "ANTI JOIN documents e ON e.doc_id = d.doc_id) AS n_hits FROM benchmark")
 def src4(spark, sf):
-    """An empty corpus gives no hits."""
-    queries, docs = search_queries(spark, sf), search_docs(spark, sf).filter(F.lit(False))
+    """A corpus that turns out empty, as every document is left out, gives no hits."""
+    queries, every = search_queries(spark, sf), search_docs(spark, sf)
+    docs = every.join(every.select("doc_id"), "doc_id", "left_anti")
     hits = rt.retrieve(queries, docs).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return queries.select(F.col("doc_id").alias("query_id")).join(hits, "query_id", "left").agg(
         F.count(F.lit(1)).alias("n_queries"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from triagelake import rules as R
+from triagelake.functions.text import WHITE_SPACE
 from triagelake.queries.fixtures import _literal as lit
 
 CTES: dict[str, str] = {}
@@ -70,7 +71,7 @@ def reply_case(lc: str) -> str:
 
 
 def signed(text: str) -> str:
-    body = rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    body = rf"regexp_replace({text}, '\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z', '', 'g')"
     ends = " OR ".join(f"ends_with({body}, {lit(s)})" for s in R.SIGNOFFS)
     return f"CASE WHEN {ends} THEN {body} ELSE {body} || ' {R.SIGNOFF}' END"
 

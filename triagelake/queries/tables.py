@@ -59,7 +59,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cte(
     "t_pairs",
-    "SELECT u.conv_id * 1000 + u.turn AS doc_id, u.conv_id AS conv_id, "
+    "SELECT u.conv_id * 1000000 + u.turn AS doc_id, u.conv_id AS conv_id, "
     "u.text AS query_text, a.text AS resolution_text "
     "FROM conversations u JOIN conversations a "
     "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
@@ -77,7 +77,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("resolution_text")
     )
     return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"),
         "conv_id", "query_text", "resolution_text",
     )
 

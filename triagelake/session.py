@@ -64,13 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores where it yields fewer partitions than there are.
+    """Spread a scan that is one single partition over all cores.
 
-    A file with one row group is read by one task.  On large tables the scan has
-    more partitions than the cluster has cores and nothing is moved.
+    A file with one row group is read by one task, whatever the split size.  Such
+    a table is at most one split in size; any larger one is read where it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() == 1 else df
 
 
 def ship_package(spark: SparkSession) -> None:
