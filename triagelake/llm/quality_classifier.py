@@ -149,7 +149,11 @@ def _ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def log_weight(text: Column, model: Model) -> Column:
-    """A struct column: number of words, and the log weight by each of the three ratios."""
+    """A struct column: number of words, and the log weight by each of the three ratios.
+
+    Declared non-deterministic for the optimizer's sake: a filter on the weight
+    would otherwise weigh every text a second time, in workers of its own.
+    """
 
     @F.arrow_udf(WEIGHT)
     def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -168,7 +172,7 @@ def log_weight(text: Column, model: Model) -> Column:
                 names=["words", "whole", "first", "second"],
             )
 
-    return weigh(text.cast("string"))
+    return weigh.asNondeterministic()(text.cast("string"))
 
 
 def gumbel(*identity: Column) -> Column:
