@@ -7,7 +7,7 @@ from golden_templates import TEMPLATES
 from pyspark.sql import functions as F
 
 from triagelake import rules
-from triagelake.operators.golden import golden_set
+from triagelake.operators.golden import expand_to_quota, golden_set
 from triagelake.plans import evaluation as ev
 from triagelake.plans.triage import triage
 from triagelake.queries import fixtures
@@ -45,6 +45,18 @@ def evaluated(spark, golden):
     return ev.judged_predictions(golden, corpus)
 
 
+def test_class_sizes_need_no_exchange(spark):
+    rows = [(i, f"t{i}", rules.INTENTS[i % 2]) for i in range(9)]
+    templates = spark.createDataFrame(rows, "seq int, tweet_text string, expected_intent string")
+    items = expand_to_quota(templates, 7)
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "BroadcastExchange" not in plan.split("Join")[0]
+    got = {(r.expected_intent, r.n, r.seq) for r in items.collect()}
+    assert got == {
+        (rules.INTENTS[c], n, c + 2 * (n % size)) for c, size in ((0, 5), (1, 4)) for n in range(7)
+    }
+
+
 def test_shape(golden):
     assert golden.count() == 180 and golden.select("id").distinct().count() == 180
     counts = {tuple(r)[:2]: r["count"] for r in golden.groupBy("expected_action", "is_critical").count().collect()}

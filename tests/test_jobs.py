@@ -5,7 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from triagelake import schemas
+from triagelake import rules, schemas
+from triagelake.functions import words
+from triagelake.functions.words import family, with_words
+from triagelake.operators import retrieval
+from triagelake.operators.classify import classify
+from triagelake.operators.failures import summarise
+from triagelake.plans import evaluation
 from triagelake.plans.triage import rules_only, triage
 from triagelake.streaming import triage_stream as ts
 
@@ -85,3 +91,70 @@ def test_stream_with_retrieval_equals_batch(spark, messages, corpus, tmp_path):
     ).awaitTermination()
     got = spark.read.parquet(out).drop("batch")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, triage(messages, corpus).collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_pass_classification(spark, tmp_path):
+    path = str(tmp_path / "messages")
+    rows = [(f"m{i}", "my screen is cracked", "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(rows, "id string, text string, lang string").write.parquet(path)
+    stored = spark.read.parquet(path)
+    for job in (classify(stored), rules_only(stored)):
+        kept = job.filter("lang = 'en'")
+        assert "EqualTo(lang,en)" in _plan(kept) and kept.count() == 20
+        assert _plan(kept).count("ArrowEvalPython") == 1
+
+
+def test_matching_once_keeps_filters_above(spark):
+    frame = spark.createDataFrame([("screen cracked",), ("hi",)], "text string")
+    flag = F.col("_words").getField(family(rules.PROFANITY_WORDS))
+    plan = _plan(with_words(frame, "text", once=True).filter(~flag))
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_evaluation_matches_words_once(spark, corpus, monkeypatch):
+    calls = []
+    real = words.word_flags
+    monkeypatch.setattr(words, "word_flags", lambda *a: calls.append(1) or real(*a))
+    golden = spark.createDataFrame(
+        [("doc_1", "screen cracked", "DEVICE_HARDWARE_ISSUE", "AUTO_HANDLE", False, 5.0)],
+        "id string, tweet_text string, expected_intent string, expected_action string, "
+        "is_critical boolean, human_quality_score double",
+    )
+    evaluation.judged_predictions(golden, corpus)
+    assert len(calls) == 1
+
+
+def test_triage_beyond_the_bounds_is_the_same(spark, messages, corpus, monkeypatch):
+    both = messages.unionByName(messages.limit(2)).unionByName(messages.filter("id IS NULL"))
+    whole = sorted(map(repr, triage(both, corpus).collect()))
+    for name in ("MAX_RESIDENT_DOCS", "MAX_RESIDENT_QUERIES", "MAX_SHARD_DOCS"):
+        monkeypatch.setattr(retrieval, name, 2)
+    assert sorted(map(repr, triage(both, corpus).collect())) == whole
+    assert len(whole) == len(MESSAGES) + 3
+
+
+def test_failures_come_in_the_order_of_the_items(spark):
+    fields = "predicted_intent string, action string, response string, escalation_reason string"
+    rows = [
+        (f"doc_{i}", i, "x", "ORDER_DELIVERY_STATUS", "AUTO_HANDLE",
+         ("SOFTWARE_OS_BUG" if 998 <= i <= 1001 else "ORDER_DELIVERY_STATUS", "AUTO_HANDLE", "", ""), 0.9, [])
+        for i in range(2, 1100)
+    ]
+    predicted = spark.createDataFrame(
+        rows,
+        "id string, seq bigint, tweet_text string, expected_intent string, expected_action string, "
+        f"triage struct<{fields.replace(' string', ':string')}>, confidence double, "
+        "reasons array<string>",
+    ).repartition(5)
+    for order in ("seq", None):
+        marked = evaluation.failures(predicted, order).withColumn(
+            "tweet_text", F.col("seq").cast("string")
+        )
+        shown = summarise(marked, "seq").first().representative_examples
+        assert [e.tweet_text for e in shown] == (
+            ["998", "999"] if order else ["{7, doc_998}", "{7, doc_999}"]
+        )

@@ -27,7 +27,7 @@ def one(spark, value, expression):
         ("my password was changed and an unknown charge came", "ACCOUNT_SECURITY_BILLING"),
         ("the ios beta makes every app crash", "SOFTWARE_OS_BUG"),
         ("how do i set up a focus mode", "HOW_TO_CONFIGURATION"),
-        ("the courier lost my parcel shipment", "ORDER_DELIVERY_STATUS"),
+        ("the courier lost my package", "ORDER_DELIVERY_STATUS"),
         ("good morning everyone", "CHITCHAT_OUT_OF_SCOPE"),
     ],
 )
@@ -144,7 +144,8 @@ def test_safe_reply_passes(spark):
 
 @pytest.mark.parametrize(
     "reply, expected",
-    [("  hi \n", "hi ^AB"), ("hi ^VK", "hi ^VK"), ("hi ^vk", "hi ^vk ^AB"), ("hi ^TL\t", "hi ^TL")],
+    [("  hi \n", "hi ^AB"), ("hi ^VK", "hi ^VK"), ("hi ^vk", "hi ^vk ^AB"), ("hi ^TL\t", "hi ^TL"),
+     ("ok ^VK\u00a0", "ok ^VK"), ("\u3000wide\u2003\u2028", "wide ^AB"), ("\x1cx\x1f", "x ^AB")],
 )
 def test_signoff(spark, reply, expected):
     assert one(spark, reply, draft.signed) == expected
@@ -241,6 +242,6 @@ def test_luhn_of_random_numbers(spark):
 
 def test_filter_on_the_outcome_reads_texts_once(spark):
     frame = spark.range(10).selectExpr("id", "cast(id as string) as text")
-    found = classify(frame).filter(F.col("classification.confidence") > 0.9)
+    found = classify(frame, once=True).filter(F.col("classification.confidence") > 0.9)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1

@@ -51,13 +51,15 @@ def classify(
     text: str = "text",
     intent_rules: Sequence[rules.IntentRule] = rules.INTENT_RULES,
     default: rules.IntentRule = rules.DEFAULT_INTENT,
+    once: bool = False,
 ) -> DataFrame:
     """Add ``classification`` (narrow, no shuffle).
 
     The lower-cased text ``_lower`` and the word flags ``_words`` stay in the
-    result for the arbiter to use.
+    result for the arbiter to use.  Filters on other columns reach the scan;
+    ``once`` is for jobs that filter on the outcome (see ``word_flags``).
     """
-    found = with_words(messages, text, intent_rules)
+    found = with_words(messages, text, intent_rules, once=once)
     return found.withColumn("classification", classification(in_flags(), intent_rules, default))
 
 
