@@ -75,11 +75,11 @@ def corpus(seed=1):
 def check(spark, texts):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
     rows, want = join.jaccard_join(docs).collect(), brute(texts)
-    assert {r.doc_id: (r.n_links, r.group_id) for r in rows} == want
+    assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == want
     first = {}
     for i, t in texts:
         first.setdefault(tuple(t.split()), i)
-    assert all(r.class_id == first[tuple(dict(texts)[r.doc_id].split())] for r in rows)
+    assert all(r.copy_id == first[tuple(dict(texts)[r.doc_id].split())] for r in rows)
 
 
 def test_all_links(spark):
@@ -119,7 +119,7 @@ def test_odd_rows(spark):
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ROWS)
     by_id = defaultdict(set)
     for r in rows:
-        by_id[r.doc_id].add((r.class_id, r.n_links, r.group_id))
+        by_id[r.doc_id].add((r.copy_id, r.n_links, r.class_id))
     assert by_id[1] == {(1, 3, 1)}  # its own repeat, the copy, the near copy
     assert by_id[6] == {(1, 3, 1)} and by_id[7] == {(7, 3, 1)}
     assert by_id[2] == {(2, 0, 2)}

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 COLUMNS_OF = {
     "op1_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op2_mixing": "doc_id size source_size target taken",
-    "op3_jaccard_join": "doc_id class_id n_links group_id",
+    "op3_jaccard_join": "doc_id class_id n_links copy_id",
     "op4_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op5_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op6_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",

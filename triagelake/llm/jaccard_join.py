@@ -3,7 +3,8 @@
 Two texts are linked when the sets of their five-word shingles have a Jaccard
 similarity of 0.8 or more.
 
-1. Texts of the same words form a class; everything else is done once per class.
+1. Texts of the same words are copies; everything else is done once per text, of
+   which the copies are counted.
 2. Each of ``TREES`` tries holds a sequence of minimum hashes per class.  Matched
    prefixes start at ``DEEPEST`` and are shortened, a trie at a time, until a
    pair at the threshold meets in some trie with probability ``RECALL``.  Classes
@@ -21,7 +22,7 @@ No candidate is capped or dropped.  Shingle sets are sets of 64-bit hashes.
 Defined results: a text of one to four words has one shingle, all of its words;
 texts without a word (empty, white space) are one class without links to others;
 a null text is a class of its own for every row; repeated rows are members of
-their class; of documents with a null ``doc_id``, class and group ids come from
+their class; of documents with a null ``doc_id``, class and copy ids come from
 the other members, or are null; an empty table gives no rows; other columns are
 not read.
 """
@@ -352,7 +353,7 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, node, class_id, n_links, root, group_id."""
+    """Per row of ``docs``: doc_id, text_hash, node, copy_id, n_links, root, class_id."""
     signed = _stored(signatures(docs), "signatures")
     classes = _stored(
         signed.filter(F.col("node").isNotNull())
@@ -373,31 +374,31 @@ def _joined(docs: DataFrame) -> DataFrame:
     info = classes.select("node", "doc_id", "copies").join(links, "node", "left").join(
         groups, "node", "left"
     ).withColumn("root", F.coalesce("root", "node"))
-    least = info.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    least = info.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     info = info.join(least, "root").select(
         "node",
         "root",
-        F.col("doc_id").alias("class_id"),
+        F.col("doc_id").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        "group_id",
+        "class_id",
     )
     return signed.select("doc_id", "text_hash", "node").join(info, "node", "left")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, n_links, group_id.
+    """Per row of ``docs``: doc_id, class_id, n_links, copy_id.
 
-    ``class_id`` is the smallest id among documents of the same words,
-    ``n_links`` the number of other documents it is linked to (copies included),
-    ``group_id`` the smallest id among all it is linked to, directly or through
-    others.
+    ``class_id`` is the smallest id among all documents it is linked to, directly
+    or through others, and itself; ``n_links`` the number of other documents it
+    is linked to (copies included); ``copy_id`` the smallest id among documents
+    of the same words.
     """
     own = F.col("node").isNull()
     return _joined(docs).select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
     )
 
 
@@ -431,3 +432,33 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, links and groups of all ``documents``."""
     return jaccard_join(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")))
+
+
+#: All pairs that share a shingle, and the closure of the links.
+OP3_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, CASE WHEN text IS NOT NULL
+                      THEN regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 5 * c >= 4 * (x.n + y.n - c)
+  UNION ALL
+  SELECT x.doc_id, y.doc_id FROM t x JOIN t y ON x.doc_id < y.doc_id
+  WHERE len(x.w) = 0 AND len(y.w) = 0),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS g FROM t UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.g),
+k AS (SELECT doc_id, min(g) AS group_id FROM r GROUP BY doc_id),
+c AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT t.doc_id,
+       group_id AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+       CASE WHEN w IS NULL THEN t.doc_id
+            ELSE min(t.doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS copy_id
+FROM t JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

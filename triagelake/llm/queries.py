@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.chat_format import OP6_SQL, op6_chat_format
 from triagelake.llm.fingerprints import op8_fingerprints
-from triagelake.llm.jaccard_join import op3_jaccard_join
+from triagelake.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from triagelake.llm.language_id import op7_language_id
 from triagelake.llm.mixing import OP2_SQL, op2_mixing
 from triagelake.llm.packing import op5_packing
@@ -36,7 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
-    "op3_jaccard_join": op3_jaccard_join,
+    "op3_jaccard_join": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op6_chat_format": OP6_SQL,
 }
