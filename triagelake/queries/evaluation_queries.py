@@ -27,6 +27,30 @@ def _r(column, digits=6):
     return F.floor(column * scale + 0.5).cast("double") / scale
 
 
+def _routing_sql(source: str, by: str = "") -> str:
+    head = f"{by}, " if by else ""
+
+    def percent(part, whole, name):
+        return (f"CASE WHEN {whole} > 0 THEN round(CAST({part} AS DOUBLE) / {whole} * 100, 2) "
+                f"ELSE 0 END AS {name}")
+
+    return f"""
+      SELECT {head} total_queries, total_auto_handled, wrong_auto_handled, total_escalations,
+        critical_escapes, total_critical_items,
+        {percent('total_auto_handled', 'total_queries', 'deflection_rate')},
+        {percent('wrong_auto_handled', 'total_auto_handled', 'fahr')},
+        {percent('critical_escapes', 'total_critical_items', 'cer')},
+        {percent('wrong_auto_handled', 'total_escalations', 'fahr_of_escalations')}
+      FROM (SELECT {head} count(*) AS total_queries,
+              count(*) FILTER (action = 'AUTO_HANDLE') AS total_auto_handled,
+              count(*) FILTER (action = 'AUTO_HANDLE' AND expected_action = 'ESCALATE')
+                AS wrong_auto_handled,
+              count(*) FILTER (expected_action = 'ESCALATE') AS total_escalations,
+              count(*) FILTER (action = 'AUTO_HANDLE' AND is_critical) AS critical_escapes,
+              count(*) FILTER (is_critical) AS total_critical_items
+            FROM {source} {f'GROUP BY {by}' if by else ''})"""
+
+
 # --- predictions of the labelled documents, rules only -----------------------
 
 sql.cte(
@@ -52,6 +76,49 @@ def _predicted(spark, sf):
     )
 
 
+_THRESHOLDS = (0.5, 0.7, 0.72, 0.85, 0.91, 0.92, 0.93, 0.94, 0.95, 0.99)
+
+
+sql.cte(
+    "t_swept",
+    "SELECT threshold, expected_action, p.is_critical, CASE WHEN layer <> 'HARD_RULE' "
+    "AND grounding_passed AND confidence >= threshold THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS action "
+    "FROM ("
+    + sql.decided(
+        "(SELECT *, CAST(NULL AS VARCHAR) AS draft_text FROM ("
+        + sql.classified("(SELECT id, tweet_text AS text, expected_action FROM t_labelled)")
+        + "))"
+    )
+    + ") d JOIN (SELECT id, is_critical FROM t_labelled) p USING (id), "
+    f"(SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _THRESHOLDS)}]) AS threshold)",
+)
+
+
+@query("swp1", f"SELECT * FROM ({_routing_sql('t_swept', 'threshold')})")
+def swp1(spark, sf):
+    """Deflection against false automatic handling, by confidence threshold."""
+    decided = rules_only(labelled(spark, sf), "tweet_text")
+    hard = F.col("decision.layer") == "HARD_RULE"
+    return metrics.threshold_sweep(
+        decided.withColumns(
+            {
+                "allowed": ~hard & F.col("decision.grounding_passed"),
+                "confidence": F.col("classification.confidence"),
+            }
+        ),
+        _THRESHOLDS,
+    )
+
+
+@query("aud1", "SELECT expected_intent, count(*) AS items, count(*) FILTER "
+               "(expected_action = 'ESCALATE') AS escalations, count(*) FILTER (is_critical) AS critical, "
+               "round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share "
+               "FROM t_labelled GROUP BY expected_intent")
+def aud1(spark, sf):
+    """How the labels of a golden set are distributed."""
+    return metrics.label_audit(labelled(spark, sf))
+
+
 @query("jn3", ("SELECT l.id, l.expected_intent, c.intent AS predicted_intent FROM t_labelled l "
                 "JOIN t_classified c ON c.id = l.seq"))
 def jn3(spark, sf):
@@ -109,30 +176,6 @@ def agg3(spark, sf):
     return metrics.macro_f1(found).select(_r(F.col("macro_f1")).alias("macro_f1"))
 
 
-def _routing_sql(source: str, by: str = "") -> str:
-    head = f"{by}, " if by else ""
-
-    def percent(part, whole, name):
-        return (f"CASE WHEN {whole} > 0 THEN round(CAST({part} AS DOUBLE) / {whole} * 100, 2) "
-                f"ELSE 0 END AS {name}")
-
-    return f"""
-      SELECT {head} total_queries, total_auto_handled, wrong_auto_handled, total_escalations,
-        critical_escapes, total_critical_items,
-        {percent('total_auto_handled', 'total_queries', 'deflection_rate')},
-        {percent('wrong_auto_handled', 'total_auto_handled', 'fahr')},
-        {percent('critical_escapes', 'total_critical_items', 'cer')},
-        {percent('wrong_auto_handled', 'total_escalations', 'fahr_of_escalations')}
-      FROM (SELECT {head} count(*) AS total_queries,
-              count(*) FILTER (action = 'AUTO_HANDLE') AS total_auto_handled,
-              count(*) FILTER (action = 'AUTO_HANDLE' AND expected_action = 'ESCALATE')
-                AS wrong_auto_handled,
-              count(*) FILTER (expected_action = 'ESCALATE') AS total_escalations,
-              count(*) FILTER (action = 'AUTO_HANDLE' AND is_critical) AS critical_escapes,
-              count(*) FILTER (is_critical) AS total_critical_items
-            FROM {source} {f'GROUP BY {by}' if by else ''})"""
-
-
 @query("agg4", (_routing_sql("t_predicted")))
 def agg4(spark, sf):
     return metrics.routing_metrics(_predicted(spark, sf))
