@@ -2,7 +2,9 @@
 
 Two bags of hashed words and word pairs are counted in one pass: all documents
 (raw) and the documents labelled good (target).  A document's log weight is the
-sum over its n-grams of log target / raw, the target smoothed towards raw.
+sum over its n-grams of log target / raw, the target smoothed towards raw; for a
+document of more than ``TYPICAL`` n-grams it is brought down to that many, or its
+length would decide.
 Documents are then drawn without replacement in proportion to their weights:
 log weight plus Gumbel noise, and the k highest are kept.
 
@@ -42,6 +44,7 @@ from triagelake.session import cut_lineage, ship_package
 BITS = 18
 BUCKETS = 1 << BITS
 SMOOTHING = 50.0
+TYPICAL = 200
 LABEL_ROWS = 100_000
 LOSS = 0.002
 MARGIN = 2.0
@@ -167,6 +170,7 @@ def log_weight(text: Column, model: Model) -> Column:
                 for k, ratio in enumerate(model):
                     values = ratio[single] + np.where(following, ratio[pair], 0.0)
                     sums[k, a:b] = row_sums(values, first)
+            sums *= np.minimum(1.0, TYPICAL / np.maximum(2 * words - 1, 1))
             yield pa.StructArray.from_arrays(
                 [pa.array(words), *(pa.array(s) for s in sums)],
                 names=["words", "whole", "first", "second"],
