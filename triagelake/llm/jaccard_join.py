@@ -42,7 +42,8 @@ from triagelake.llm.components import connected_components
 from triagelake.llm.text_arrays import (
     _BASE, _power_table, chunks, mix, row_sums, shingle_hashes, utf8, word_hashes,
 )
-from triagelake.session import scratch_path, ship_package
+from triagelake.llm.workers import prepare
+from triagelake.session import scratch_path
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8
@@ -90,7 +91,7 @@ def _nodes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, hash of its words, number of shingles, trie prefixes, sketch."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     lengths = depths()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

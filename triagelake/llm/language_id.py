@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.columns import passed, whole_row
 from triagelake.llm.text_arrays import row_sums
-from triagelake.session import ship_package
+from triagelake.llm.workers import prepare
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -137,7 +137,7 @@ def _groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 
 def train(docs: DataFrame) -> Model:
     """Count trigrams and scripts per language over all rows of (text, lang)."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -313,7 +313,7 @@ def train_on(docs: DataFrame) -> Model:
 
 def identified_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` in a learned language that holds ``least`` of their letters."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     found = docs.select(whole_row(), identify(F.col("text"), train_on(docs)).alias("_found"))
     known = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= least)
     return found.filter(known).select(*passed(docs))
@@ -322,7 +322,7 @@ def identified_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFra
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document of ``documents``."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    ship_package(spark)
+    prepare(spark)
     model = train_on(docs)
     rows = docs.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"),

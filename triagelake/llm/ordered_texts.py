@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.session import ship_package
+from triagelake.llm.workers import prepare
 
 RANGES_PER_PARTITION = 4
 SCHEMA = "part int, guest boolean, doc_id bigint, tie bigint, packed binary"
@@ -78,7 +78,7 @@ def in_order(docs: DataFrame, with_next: bool = False) -> DataFrame:
     empty and travels as null.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     count = shuffle_partitions(docs)
     bounds = range_bounds(docs, RANGES_PER_PARTITION * count)
     edges = np.array(bounds, np.int64)

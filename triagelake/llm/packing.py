@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from triagelake.llm.text_arrays import chunks, utf8
 from triagelake.llm.word_tokens import default_path, encoder
 from triagelake.operators.ranking import number_within
-from triagelake.session import cut_lineage, ship_package
+from triagelake.llm.workers import prepare
+from triagelake.session import cut_lineage
 
 CAPACITY = 4096
 ROUNDS = 16
@@ -45,7 +46,7 @@ def token_pieces(
 ) -> DataFrame:
     """Tokens of every text, cut into pieces of ``capacity``; lengths and checksums only."""
     path = tokenizer_path or default_path()
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
@@ -233,7 +234,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=[*batch.schema.names[:5], "sequence_id", "offset"],
             )
 
-    ship_package(pieces.sparkSession)
+    prepare(pieces.sparkSession)
     return numbered.mapInArrow(look_up, PLACED)
 
 

@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.columns import passed, whole_row
 from triagelake.llm.text_arrays import chunks, mix, row_sums, utf8, word_hashes
-from triagelake.session import cut_lineage, ship_package
+from triagelake.llm.workers import prepare
+from triagelake.session import cut_lineage
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -101,7 +102,7 @@ def label_sample(labels: DataFrame, rows: int = LABEL_ROWS) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Count raw and target n-grams over all documents; the ratio per bucket."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((3, BUCKETS), np.int64)

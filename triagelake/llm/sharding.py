@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.operators.ranking import number_within
-from triagelake.session import cut_lineage, ship_package
+from triagelake.llm.workers import prepare
+from triagelake.session import cut_lineage
 
 SHARDS = 24
 LARGE = 1 / 256
@@ -154,7 +155,7 @@ def shard_groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (from 0 within the shard), grown_shard."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows, groups = shard_groups(cut_lineage(facts(docs)), shards)
     matches = reduce(
         lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in GROUP]

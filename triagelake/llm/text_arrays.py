@@ -1,7 +1,7 @@
 """Array helpers for tasks: Arrow text columns as numpy arrays, words and their hashes.
 
 A word is a run of bytes other than space and 0x09-0x0D.  Everything here works
-on one Arrow batch at a time, cut into chunks of about a megabyte, so memory
+on one Arrow batch at a time, cut into chunks of about half a megabyte, so memory
 does not depend on the size of the input.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

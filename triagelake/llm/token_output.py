@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.ordered_texts import in_order
 from triagelake.llm.word_tokens import default_path, encoder
-from triagelake.session import scratch_path, ship_package
+from triagelake.llm.workers import prepare
+from triagelake.session import scratch_path
 
 MAGIC = b"TLBITS01"
 BLOCK_IDS = 4096
@@ -160,7 +161,7 @@ def write_token_files(
     leaves one whole file.  The list has one entry per range, not per document.
     """
     path = tokenizer_path or default_path()
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -216,7 +217,7 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """Per document of the files: id, start among all ids, count and CRC-32 of its ids."""
-    ship_package(spark)
+    prepare(spark)
     base, entries = 0, []
     for path, count in files:
         entries.append((path, base))
