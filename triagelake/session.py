@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL_SCAN = 16  # splits: 2 GB at the default split size
+
+
 def local_session(cores: int | str = 8, app: str = "triagelake") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     cores = int(cores)
@@ -64,13 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that is one single partition over all cores.
+    """Spread a small scan, of at most ``SMALL_SCAN`` splits, over all cores.
 
-    A file with one row group is read by one task, whatever the split size.  Such
-    a table is at most one split in size; any larger one is read where it lies.
+    A file with one row group is read by one task, however many splits it has.
+    Any larger table is read where it lies, whatever the size of the cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() == 1 else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, SMALL_SCAN) else df
 
 
 def ship_package(spark: SparkSession) -> None:
