@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _encoders: dict[str, WordEncoder] = {}
 
