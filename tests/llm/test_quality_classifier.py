@@ -65,6 +65,33 @@ def test_ratio_matches_plain_counts(spark, tables):
     assert np.allclose(model.whole, want)
 
 
+def test_toxic_words_in_clean_texts_are_rejected(spark):
+    """Three forms of a few insults in hundreds of clean words, in documents without a label."""
+    rng = random.Random(5)
+
+    def toxic(k):
+        words = prose(150 + k, 5000 + k).split()
+        for _ in range(3):
+            words.insert(rng.randrange(len(words)), rng.choice(("zkrumpfa", "qvorbel")) + rng.choice("abcde"))
+        return " ".join(words)
+
+    texts = [(k, prose(20 + k % 200, k)) for k in range(1200)]
+    texts += [(2000 + k, toxic(k)) for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(6)
+    marks = spark.createDataFrame(
+        [(i, 1, int(i >= 2000)) for i, _ in texts if i % 3], "doc_id bigint, quality int, toxic int"
+    )
+    rows = [r for r in qc.resample(docs, marks).collect() if r.doc_id % 3 == 0]
+    assert np.mean([r.kept for r in rows if r.doc_id >= 2000]) < 0.05
+    assert np.mean([r.kept for r in rows if r.doc_id < 2000]) > 0.98
+
+
+def test_best_cut():
+    assert qc.best_cut({-1: 500, -9: 1}, {-10: 3, -5: 7}) == -2.5
+    assert qc.best_cut({-1: 100, -9: 1}, {-10: 3, -5: 7}) == -9.0
+    assert qc.best_cut({-5: 4}, {-5: 4}) == qc.best_cut({}, {-5: 4}) == -np.inf
+
+
 @pytest.mark.parametrize("k", [1, 2, 777, 4000, 4999, 5000, 9000])
 def test_kth_largest(spark, k):
     rng = random.Random(4)
