@@ -101,3 +101,20 @@ def test_empty_table_or_no_labels(spark, model):
     none = lid.train(spark.createDataFrame([("a b", None)], "text string, lang string"))
     assert none.languages == ()
     assert found(spark, none, ["a b"])[0].lang == "und"
+
+
+def test_unlearned_languages_are_rejected(spark):
+    """Finnish in a known script, Chinese in an unknown one, and half a text of each kind."""
+    fi = "talo olemme menossa tänään junalla joka kautta ajatus yö hyvää kiitos paljon".split()
+    rng = random.Random(3)
+    rows = [(k, text(lang, 30, k), lang) for lang in ("de", "en") for k in range(2000)]
+    rows += [(10_000 + k, " ".join(rng.choices(fi, k=30)), None) for k in range(20)]
+    rows += [(20_000, "中文" * 20, None), (20_001, "中文" * 20 + " " + text("de", 2, 1), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    kept = [r.doc_id for r in lid.identified_documents(docs).collect()]
+    assert not [i for i in kept if i >= 10_000]
+    assert len(kept) > 0.98 * 4000
+    out = docs.select("doc_id", lid.identify(docs.text, lid.train_on(docs)).alias("f"))
+    strange = {r.doc_id: r.f for r in out.filter("doc_id >= 10000").collect()}
+    assert all(f.lang in ("de", "en") for f in strange.values())
+    assert strange[20_000].score == 0.0 and 0 < strange[20_001].score < 0.3

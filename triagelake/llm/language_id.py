@@ -5,14 +5,23 @@ as one boundary sign), and a word's score for a language is the sum of its
 trigrams' log frequencies there.  Ranges of code points give each word a script,
 and only languages written in that script are candidates for it.  A Viterbi pass
 over a document's words, with a penalty for every switch, labels spans; the
-document's language is the one whose spans hold the most letters.
+document's language is the one whose spans hold the most letters, not counting
+words in a script that no language uses.
+
+The score is the share of all letters in that language's spans, less where they
+fit it badly: the mean log frequency of the letters is held against what held-out
+texts of the language reach.  All but ``LOSS`` of those of about the same length
+(``LEAST_HELD`` at least, or else shorter ones) lie above the floor, ``fit`` is
+the distance to it, and a text below it is not taken for an identified one.
 
 The model is counted over all labelled documents, pre-aggregated per task, and
 has ``BUCKETS`` numbers per language.  Scoring is one narrow pass.  Viterbi runs
 over the words of many documents side by side, one word of each at a time.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
-and no spans; words in a script that no language uses are neutral; ties go to
+and no spans; words in a script that no language uses are neutral, and a text of such words alone
+has the first language and score 0; without enough held-out texts there is no floor
+and ``fit`` is null; ties go to
 the language first in code-point order; repeated rows get equal results; with no
 labelled text everything is ``und``; an empty table gives no rows; ``identify``
 is a column, so a table keeps the columns it has.
@@ -45,7 +54,7 @@ CHUNK_CHARS = 250_000
 OUT_OF_SCRIPT = -1000.0
 UNKNOWN = "und"
 RESULT = (
-    "struct<lang:string,score:double,"
+    "struct<lang:string,score:double,fit:double,"
     "spans:array<struct<lang:string,first_word:int,words:int>>>"
 )
 
@@ -59,6 +68,10 @@ SCRIPTS = (
     (0xFB50, 6), (0xFE00, 0), (0x20000, 15), (0x30000, 0),
 )
 SCRIPT_COUNT = 16
+LOSS = 0.005
+LEAST_HELD = 200  # texts of a language and length, for a floor
+LENGTHS = 32  # powers of two of letters
+STEP = 0.02  # nats per letter
 LEAST_SCORE = 0.3  # of a document that the pipeline keeps
 
 
@@ -66,6 +79,7 @@ class Model(NamedTuple):
     languages: tuple[str, ...]
     scores: np.ndarray  # buckets x languages, log frequencies
     candidates: np.ndarray  # scripts x languages, whether a language uses a script
+    floors: np.ndarray | None = None  # lengths x languages, mean log frequency that fits
 
 
 @cache
@@ -226,9 +240,10 @@ def _viterbi(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _identify(texts: list[str], model: Model) -> pa.StructArray:
-    """Language, score and spans of each text."""
+    """Language, score, fit and spans of each text; without floors, fit is the mean itself."""
     kinds = len(model.languages)
     scores, words, sizes, places, offset = [], [np.zeros(1, np.int64)], [], [], 0
+    neutral = [np.zeros(0, bool)]
     for a, b in _groups(texts, CHUNK_CHARS):
         found = _letters(texts[a:b])
         count = int(found.words[-1])
@@ -238,7 +253,8 @@ def _identify(texts: list[str], model: Model) -> pa.StructArray:
             table = np.add.reduceat(model.scores[found.bucket], starts, axis=0)
             usable = model.candidates[found.script[starts]]
             table = np.where(usable, table, np.float32(OUT_OF_SCRIPT))
-            table[~usable.any(axis=1)] = 0
+            neutral.append(~usable.any(axis=1))
+            table[neutral[-1]] = 0
             sizes.append(np.diff(np.append(starts, len(found.word))))
         scores.append(table)
         words.append(found.words[1:] + offset)
@@ -249,13 +265,21 @@ def _identify(texts: list[str], model: Model) -> pa.StructArray:
     size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     place = np.concatenate(places) if places else np.zeros(0, np.int64)
     labels = _viterbi(every, rows)
+    counted = np.where(np.concatenate(neutral), 0, size)
     held = np.stack(
-        [row_sums(np.where(labels == k, size, 0).astype(np.int64), rows) for k in range(kinds)],
+        [row_sums(np.where(labels == k, counted, 0).astype(np.int64), rows) for k in range(kinds)],
         axis=1,
     )
-    letters = held.sum(axis=1)
+    letters = row_sums(size.astype(np.int64), rows)
     chosen = held.argmax(axis=1)
-    share = held[np.arange(len(texts)), chosen] / np.maximum(letters, 1)
+    most = held[np.arange(len(texts)), chosen]
+    share = most / np.maximum(letters, 1)
+    winner = np.repeat(chosen, np.diff(rows))
+    own = every[np.arange(len(labels)), winner].astype(np.float64)
+    fit = row_sums(np.where(labels == winner, own, 0.0), rows) / np.maximum(most, 1)
+    if model.floors is not None:
+        fit = fit - model.floors[_length(most), chosen]
+        share = share * np.exp(np.minimum(fit, 0.0))
     names = np.array([*model.languages, UNKNOWN], object)
     # spans: runs of one label within a text
     start = np.ones(len(labels), bool)
@@ -276,14 +300,19 @@ def _identify(texts: list[str], model: Model) -> pa.StructArray:
         [
             pa.array(names[np.where(letters > 0, chosen, kinds)], pa.string()),
             pa.array(share.astype(np.float64)),
+            pa.array(fit, mask=(most == 0) | ~np.isfinite(fit)),
             pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), spans),
         ],
-        names=["lang", "score", "spans"],
+        names=["lang", "score", "fit", "spans"],
     )
 
 
+def _length(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), LENGTHS - 1)
+
+
 def identify(text: Column, model: Model) -> Column:
-    """A struct column: lang, score (share of letters in its spans) and spans."""
+    """A struct column: lang, score (share of letters in its spans, by fit), fit and spans."""
 
     @F.arrow_udf(RESULT)
     def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -295,6 +324,7 @@ def identify(text: Column, model: Model) -> Column:
     if not model.languages:
         return F.struct(
             F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"),
+            F.lit(None).cast("double").alias("fit"),
             F.array().cast("array<struct<lang:string,first_word:int,words:int>>").alias("spans"),
         )
     return label(text.cast("string"))
@@ -307,15 +337,83 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_on(docs: DataFrame) -> Model:
-    """The model of all labelled documents that are not held out."""
-    return train(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    """The model of all labelled documents that are not held out, its floors from those that are."""
+    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    return calibrated(docs.filter(held_out(F.col("doc_id"))), model)
+
+
+def calibrated(docs: DataFrame, model: Model) -> Model:
+    """``model`` with the floors that labelled texts it has not seen give.
+
+    The driver gets counts by language, length and step of the mean.
+    """
+    if not model.languages:
+        return model
+    prepare(docs.sparkSession)
+    kinds = len(model.languages)
+    place = {x: k for k, x in enumerate(model.languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int, int], int] = {}
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            langs = batch.column(1).to_pylist()
+            for a, b in _groups(texts, GROUP_CHARS):
+                found = _identify(texts[a:b], model)
+                got = zip(
+                    langs[a:b], found.field("lang").to_pylist(), found.field("fit").to_pylist(),
+                    _held(texts[a:b], found), strict=True,
+                )
+                for lang, best, mean, length in got:
+                    if lang == best and mean is not None:
+                        key = (place[lang], length, int(np.floor(mean / STEP)))
+                        counts[key] = counts.get(key, 0) + 1
+        if counts:
+            columns = [*zip(*counts, strict=True), tuple(counts.values())]
+            yield pa.record_batch(
+                [pa.array(c, pa.int64()) for c in columns], names=["lang", "length", "step", "n"]
+            )
+
+    rows = (
+        docs.select(F.col("text").cast("string").alias("text"),
+                    F.col("lang").cast("string").alias("lang"))
+        .dropna()
+        .mapInArrow(count, "lang bigint, length bigint, step bigint, n bigint")
+        .groupBy("lang", "length", "step")
+        .agg(F.sum("n").alias("n"))
+        .orderBy("lang", "length", "step")
+        .collect()
+    )
+    floors = np.full((LENGTHS, kinds), -np.inf)
+    for k in range(kinds):
+        for length in range(LENGTHS):
+            mine = [(r["step"], r["n"]) for r in rows if r["lang"] == k and r["length"] == length]
+            total = sum(n for _, n in mine)
+            if length:
+                floors[length, k] = floors[length - 1, k]
+            if total >= LEAST_HELD:
+                reached = np.cumsum([n for _, n in mine])
+                at = int(np.searchsorted(reached, LOSS * total, "right"))
+                floors[length, k] = mine[at][0] * STEP
+    return model._replace(floors=floors)
+
+
+def _held(texts: list[str], found: pa.StructArray) -> list[int]:
+    """The length class of each text's letters in its language."""
+    letter = _tables()[0]
+    sizes = np.array([
+        np.count_nonzero(letter[np.frombuffer(t.encode("utf-32-le"), "<u4")]) for t in texts
+    ], np.float64)
+    share = found.field("score").to_numpy(zero_copy_only=False)
+    return _length(np.rint(sizes * share)).tolist()
 
 
 def identified_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` in a learned language that holds ``least`` of their letters."""
+    """The rows of ``docs`` that fit a learned language, which holds ``least`` of their letters."""
     prepare(docs.sparkSession)
     found = docs.select(whole_row(), identify(F.col("text"), train_on(docs)).alias("_found"))
-    known = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= least)
+    fits = F.coalesce(F.col("_found.fit") >= 0, F.lit(True))
+    known = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= least) & fits
     return found.filter(known).select(*passed(docs))
 
 
