@@ -118,3 +118,9 @@ def test_unlearned_languages_are_rejected(spark):
     strange = {r.doc_id: r.f for r in out.filter("doc_id >= 10000").collect()}
     assert all(f.lang in ("de", "en") for f in strange.values())
     assert strange[20_000].score == 0.0 and 0 < strange[20_001].score < 0.3
+
+
+def test_viterbi_with_many_languages():
+    scores = np.zeros((6, 300), np.float32)
+    scores[:3, 200] = scores[3:, 299] = 50
+    assert lid._viterbi(scores, np.array([0, 6])).tolist() == [200] * 3 + [299] * 3

@@ -203,15 +203,15 @@ def _viterbi(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
     lengths = np.diff(words)
     order = np.argsort(-lengths, kind="stable")
     firsts, lengths = words[:-1][order], lengths[order]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     if not len(scores):
         return labels
     steps = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts longer than each step
-    best_before = np.zeros(len(scores), np.int8)
+    best_before = np.zeros(len(scores), np.int32)
     switched = np.zeros(scores.shape, bool)
     total = scores[firsts[: active[0]]].copy() if steps else scores[:0]
-    ends = np.zeros(len(lengths), np.int8)
+    ends = np.zeros(len(lengths), np.int32)
     for step in range(1, steps):
         live = active[step]
         if live < len(total):
