@@ -6,6 +6,7 @@ from triagelake.queries.registry import ORACLES, QUERIES
 def _load() -> None:
     from triagelake.queries import (  # noqa: F401
         evaluation_queries,
+        index_queries,
         rules_queries,
         search_queries,
         stream_queries,
