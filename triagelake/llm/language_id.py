@@ -9,10 +9,14 @@ document's language is the one whose spans hold the most letters, not counting
 words in a script that no language uses.
 
 The score is the share of all letters in that language's spans, less where they
-fit it badly: the mean log frequency of the letters is held against what held-out
-texts of the language reach.  All but ``LOSS`` of those of about the same length
-(``LEAST_HELD`` at least, or else shorter ones) lie above the floor, ``fit`` is
-the distance to it, and a text below it is not taken for an identified one.
+fit it badly: the mean log frequency of the letters is held against what texts of
+the language reach that the model has not seen.  For that the training texts are
+cut in two halves by a hash of the text, so that copies stay together, and each
+half is scored by a model of the other one; held-out rows have no part in it.  The
+floor lies ``LOSS`` of those texts deep: their distances from the language's mean,
+each measured by the spread that texts of its length have, are one distribution
+over all languages and lengths, so there is a floor at any size of table.
+``fit`` is the distance to it; a text below it is not taken for an identified one.
 
 The model is counted over all labelled documents, pre-aggregated per task, and
 has ``BUCKETS`` numbers per language.  Scoring is one narrow pass.  Viterbi runs
@@ -20,8 +24,8 @@ over the words of many documents side by side, one word of each at a time.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0
 and no spans; words in a script that no language uses are neutral, and a text of such words alone
-has the first language and score 0; without enough held-out texts there is no floor
-and ``fit`` is null; ties go to
+has the first language and score 0; a language without texts to set a floor takes
+the mean of the others, and without any there is no floor; ties go to
 the language first in code-point order; repeated rows get equal results; with no
 labelled text everything is ``und``; an empty table gives no rows; ``identify``
 is a column, so a table keeps the columns it has.
@@ -69,7 +73,7 @@ SCRIPTS = (
 )
 SCRIPT_COUNT = 16
 LOSS = 0.005
-LEAST_HELD = 200  # texts of a language and length, for a floor
+DEEP = 2.576  # standard deviations at LOSS of a normal distribution
 LENGTHS = 32  # powers of two of letters
 STEP = 0.02  # nats per letter
 LEAST_SCORE = 0.3  # of a document that the pipeline keeps
@@ -149,55 +153,73 @@ def _groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def train(docs: DataFrame) -> Model:
-    """Count trigrams and scripts per language over all rows of (text, lang)."""
+def _counted(docs: DataFrame) -> tuple[tuple[str, ...], np.ndarray]:
+    """Languages, and counts (halves x trigrams and scripts x languages) over all rows.
+
+    ``docs``: text, lang and ``half`` (0 or 1).  The driver gets ``BUCKETS`` counts
+    per language and half.
+    """
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            langs = np.array(batch.column(1).to_pylist(), object)
+            sides = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for a, b in _groups(texts, CHUNK_CHARS):
                 found = _letters(texts[a:b])
                 text = np.repeat(np.arange(b - a), np.diff(found.words))[found.word]
-                for lang in sorted(set(langs[a:b])):
-                    mine = (langs[a:b] == lang)[text]
-                    if lang not in counts:
-                        counts[lang] = np.zeros(BUCKETS + SCRIPT_COUNT, np.int64)
-                    counts[lang][:BUCKETS] += np.bincount(found.bucket[mine], minlength=BUCKETS)
-                    counts[lang][BUCKETS:] += np.bincount(
+                kinds = sorted(set(sides[a:b]))
+                number = {x: k for k, x in enumerate(kinds)}
+                of = np.array([number[x] for x in sides[a:b]], np.int64)[text]
+                for k, kind in enumerate(kinds):
+                    mine = of == k
+                    if kind not in counts:
+                        counts[kind] = np.zeros(BUCKETS + SCRIPT_COUNT, np.int64)
+                    counts[kind][:BUCKETS] += np.bincount(found.bucket[mine], minlength=BUCKETS)
+                    counts[kind][BUCKETS:] += np.bincount(
                         found.script[mine], minlength=SCRIPT_COUNT
                     )
-        for lang, table in counts.items():
+        for (lang, half), table in counts.items():
             used = np.flatnonzero(table)
             yield pa.record_batch(
-                [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)),
-                 pa.array(table[used])],
-                names=["lang", "bucket", "n"],
+                [pa.array([lang] * len(used), pa.string()), pa.array([half] * len(used), pa.int32()),
+                 pa.array(used.astype(np.int32)), pa.array(table[used])],
+                names=["lang", "half", "bucket", "n"],
             )
 
     table = (
         docs.select(F.col("text").cast("string").alias("text"),
-                    F.col("lang").cast("string").alias("lang"))
+                    F.col("lang").cast("string").alias("lang"), F.col("half").cast("int").alias("half"))
         .dropna()
-        .mapInArrow(count, "lang string, bucket int, n bigint")
-        .groupBy("lang", "bucket")
+        .mapInArrow(count, "lang string, half int, bucket int, n bigint")
+        .groupBy("lang", "half", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
     names = table.column("lang").to_pylist()
     languages = tuple(sorted(set(names)))
     place = {x: k for k, x in enumerate(languages)}
-    counts = np.zeros((BUCKETS + SCRIPT_COUNT, len(languages)))
+    counts = np.zeros((2, BUCKETS + SCRIPT_COUNT, len(languages)))
     columns = np.array([place[x] for x in names], np.int64)
-    counts[table.column("bucket").to_numpy(), columns] = table.column("n").to_numpy()
+    at = (table.column("half").to_numpy(), table.column("bucket").to_numpy(), columns)
+    counts[at] = table.column("n").to_numpy()
+    return languages, counts
+
+
+def _model(languages: tuple[str, ...], counts: np.ndarray) -> Model:
     seen = counts[:BUCKETS]
     total = np.maximum(seen.sum(axis=0), 1.0)
     scores = np.log((seen + SMOOTHING) / (total + SMOOTHING * BUCKETS)).astype(np.float32)
     return Model(languages, scores, counts[BUCKETS:] >= SCRIPT_SHARE * total)
 
 
+def train(docs: DataFrame) -> Model:
+    """Count trigrams and scripts per language over all rows of (text, lang); no floors."""
+    languages, counts = _counted(docs.select("text", "lang", F.lit(0).alias("half")))
+    return _model(languages, counts.sum(axis=0))
+
+
 def _viterbi(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The best label of every word, with ``SWITCH`` off for each change within a text."""
     lengths = np.diff(words)
@@ -337,65 +359,95 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_on(docs: DataFrame) -> Model:
-    """The model of all labelled documents that are not held out, its floors from those that are."""
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
-    return calibrated(docs.filter(held_out(F.col("doc_id"))), model)
+    """The model of all labelled documents that are not held out; nothing else is read."""
+    rows = docs.filter(~held_out(F.col("doc_id"))).select(
+        "text", "lang", F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(2)).cast("int").alias("half")
+    )
+    languages, counts = _counted(rows)
+    model = _model(languages, counts.sum(axis=0))
+    if not languages:
+        return model
+    return model._replace(floors=_floors(rows, [_model(languages, c) for c in counts]))
 
 
-def calibrated(docs: DataFrame, model: Model) -> Model:
-    """``model`` with the floors that labelled texts it has not seen give.
+def _floors(rows: DataFrame, halves: list[Model]) -> np.ndarray:
+    """Floors (lengths x languages) from texts scored by the model of the other half.
 
     The driver gets counts by language, length and step of the mean.
     """
-    if not model.languages:
-        return model
-    prepare(docs.sparkSession)
-    kinds = len(model.languages)
-    place = {x: k for k, x in enumerate(model.languages)}
+    place = {x: k for k, x in enumerate(halves[0].languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            langs = batch.column(1).to_pylist()
-            for a, b in _groups(texts, GROUP_CHARS):
-                found = _identify(texts[a:b], model)
-                got = zip(
-                    langs[a:b], found.field("lang").to_pylist(), found.field("fit").to_pylist(),
-                    _held(texts[a:b], found), strict=True,
-                )
-                for lang, best, mean, length in got:
-                    if lang == best and mean is not None:
-                        key = (place[lang], length, int(np.floor(mean / STEP)))
-                        counts[key] = counts.get(key, 0) + 1
+            half = batch.column(2).to_numpy(zero_copy_only=False)
+            for k, other in enumerate(reversed(halves)):
+                mine = batch.filter(pa.array(half == k))
+                texts, langs = mine.column(0).to_pylist(), mine.column(1).to_pylist()
+                for a, b in _groups(texts, GROUP_CHARS):
+                    found = _identify(texts[a:b], other)
+                    got = zip(
+                        langs[a:b], found.field("lang").to_pylist(),
+                        found.field("fit").to_pylist(), _held(texts[a:b], found), strict=True,
+                    )
+                    for lang, best, mean, length in got:
+                        if lang == best and mean is not None:
+                            key = (place[lang], length, int(np.floor(mean / STEP)))
+                            counts[key] = counts.get(key, 0) + 1
         if counts:
             columns = [*zip(*counts, strict=True), tuple(counts.values())]
             yield pa.record_batch(
                 [pa.array(c, pa.int64()) for c in columns], names=["lang", "length", "step", "n"]
             )
 
-    rows = (
-        docs.select(F.col("text").cast("string").alias("text"),
-                    F.col("lang").cast("string").alias("lang"))
+    table = (
+        rows.select(F.col("text").cast("string").alias("text"),
+                    F.col("lang").cast("string").alias("lang"), "half")
         .dropna()
         .mapInArrow(count, "lang bigint, length bigint, step bigint, n bigint")
         .groupBy("lang", "length", "step")
         .agg(F.sum("n").alias("n"))
         .orderBy("lang", "length", "step")
-        .collect()
+        .toArrow()
     )
-    floors = np.full((LENGTHS, kinds), -np.inf)
-    for k in range(kinds):
-        for length in range(LENGTHS):
-            mine = [(r["step"], r["n"]) for r in rows if r["lang"] == k and r["length"] == length]
-            total = sum(n for _, n in mine)
-            if length:
-                floors[length, k] = floors[length - 1, k]
-            if total >= LEAST_HELD:
-                reached = np.cumsum([n for _, n in mine])
-                at = int(np.searchsorted(reached, LOSS * total, "right"))
-                floors[length, k] = mine[at][0] * STEP
-    return model._replace(floors=floors)
+    return fitted_floors(*(table.column(c).to_numpy() for c in ("lang", "length", "step", "n")), len(place))
+
+
+def fitted_floors(
+    lang: np.ndarray, length: np.ndarray, step: np.ndarray, n: np.ndarray, kinds: int
+) -> np.ndarray:
+    """Floors (lengths x languages) from counts of means by language, length and step.
+
+    The spread of a mean over ``x`` letters is taken as ``a + b / x``.  The depth is
+    that of ``LOSS`` of the distances, and no less than a normal distribution has it,
+    a little more for few texts.
+    """
+    if not len(n):
+        return np.full((LENGTHS, kinds), -np.inf)
+    value, weight = (step + 0.5) * STEP, n.astype(np.float64)
+    total = np.bincount(lang, weight, minlength=kinds)
+    means = np.bincount(lang, weight * value, minlength=kinds) / np.maximum(total, 1)
+    means[total == 0] = means[total > 0].mean()
+    away = value - means[lang]
+    letters = 1.5 * 2.0 ** np.arange(LENGTHS)
+    held = np.bincount(length, weight, minlength=LENGTHS)
+    variance = np.bincount(length, weight * away**2, minlength=LENGTHS) / np.maximum(held, 1)
+    # weighted least squares of the variance by length, neither part below 0
+    design = np.stack([np.ones(LENGTHS), 1 / letters], axis=1)
+    scale = np.sqrt(held) * np.sqrt(letters)
+    parts = np.linalg.lstsq(design * scale[:, None], variance * scale, rcond=None)[0]
+    if parts.min() < 0:
+        keep = int(np.argmax(parts))
+        own = design[:, keep] * scale
+        parts = np.zeros(2)
+        parts[keep] = (own @ (variance * scale)) / max(own @ own, 1e-300)
+    spread = np.sqrt(np.maximum(design @ np.maximum(parts, 0), STEP**2))
+    apart = away / spread[length]
+    order = np.argsort(apart, kind="stable")
+    reached = np.cumsum(weight[order])
+    seen = apart[order][int(np.searchsorted(reached, LOSS * reached[-1], "right"))]
+    depth = min(seen, -DEEP * (1 + 2 / np.sqrt(reached[-1])))
+    return means[None, :] + depth * spread[:, None]
 
 
 def _held(texts: list[str], found: pa.StructArray) -> list[int]:
