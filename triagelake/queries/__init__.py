@@ -10,6 +10,7 @@ def _load() -> None:
         rules_queries,
         search_queries,
         stream_queries,
+        support_queries,
     )
 
 

@@ -399,7 +399,8 @@ def src1(spark, sf):
     )
 
 
-@query("snk3", ("SELECT intent, count(*) AS n FROM t_resolutions GROUP BY intent"))
+@query("snk3", "SELECT intent, tweet_id, md5(query_text) AS query_md5, md5(resolution_text) AS reply_md5 "
+               "FROM t_resolutions")
 def snk3(spark, sf):
     """Past resolutions written as parquet by intent and read back."""
     path = scratch_path(spark, "resolutions")
@@ -407,7 +408,10 @@ def snk3(spark, sf):
         _as_resolutions(resolutions(spark, sf)), path, partition_by=["intent"]
     )
     read = spark.read.schema(schemas.RESOLUTION).parquet(path)
-    return read.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    return read.select(
+        "intent", "tweet_id", F.md5(F.col("query_text").cast("binary")).alias("query_md5"),
+        F.md5(F.col("resolution_text").cast("binary")).alias("reply_md5"),
+    )
 
 
 # --- the whole job -----------------------------------------------------------

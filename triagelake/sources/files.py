@@ -59,3 +59,8 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
             return False
         raise
     return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file, or a folder with all it holds."""
+    _system(spark, path).delete(_path(spark, path), True)

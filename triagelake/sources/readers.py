@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from triagelake import rules, schemas
 from triagelake.operators.golden import golden_set
 from triagelake.sources import writers
+from triagelake.sources.json_arrays import read_json_array
 
 
 def _json(spark: SparkSession, path: str, schema, array: bool) -> DataFrame:
-    # An array file is one JSON value and cannot be split; a table of lines can.
-    return spark.read.schema(schema).option("multiLine", array).json(path)
+    return read_json_array(spark, path, schema) if array else spark.read.schema(schema).json(path)
 
 
 def load_resolutions(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
-    """Past resolutions from JSON lines, or from files holding one JSON array."""
+    """Past resolutions from JSON lines, or from files holding JSON arrays."""
     return _json(spark, path, schemas.RESOLUTION, array)
 
 
