@@ -65,6 +65,59 @@ def test_text_round_trip_and_likeness():
     assert fp.likeness(fp.sketch(long), fp.sketch(halves)) < 0.7
 
 
+def test_any_edit_shows_and_costs_no_more_than_itself():
+    rng = random.Random(1)
+    for size in (400, 3000, 20_000):
+        text = prose(size, size)
+        own = fp.sketch(text)
+        assert len(fp.as_text(own)) < len(text)
+        for _ in range(30):
+            at = rng.randrange(len(text) - 10)
+            one = text[:at] + chr(ord(text[at]) + 1) + text[at + 1 :]
+            ten = text[:at] + "QWERTYUIOP" + text[at + 10 :]
+            more = text[:at] + prose(9, at)[:40] + text[at:]
+            less = text[:at] + text[at + 40 :]
+            for edited in (one, ten, more, less):
+                assert fp.as_text(fp.sketch(edited)) != fp.as_text(own)
+                assert fp.likeness(own, fp.sketch(edited)) > 0.95
+        both = text[:50] + "inserted here " + text[50:900] + text[950:]
+        assert fp.likeness(own, fp.sketch(both)) > 0.9
+
+
+def test_gaps_are_bounded():
+    """Also in texts that repeat themselves."""
+    for text in (prose(2000, 4), "a" * 500, "ab" * 300, "abc " * 200, "x" * 40 + prose(30, 1)):
+        places = fp.syncmers(points(text))[0]
+        assert places[0] <= fp.K - fp.S and np.diff(places).max() <= fp.K - fp.S
+
+
+def test_chain_against_all_chains():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = (np.array(rng.choices(range(9), k=rng.randint(1, 9)), np.uint32) for _ in "ab")
+        at = [np.sort(rng.sample(range(60), len(x))) for x in (a, b)]
+
+        def turns(x):
+            return [(h, list(x[:k]).count(h)) for k, h in enumerate(x)]
+
+        pairs = [(i, j) for i, p in enumerate(turns(a)) for j, q in enumerate(turns(b)) if p == q]
+        runs, k = [], 0
+        while k < len(pairs):  # neighbouring matches with one shift
+            m = k
+            while m + 1 < len(pairs) and pairs[m + 1][1] > pairs[m][1] and (
+                at[0][pairs[m + 1][0]] - at[1][pairs[m + 1][1]] == at[0][pairs[m][0]] - at[1][pairs[m][1]]
+            ):
+                m += 1
+            runs.append((pairs[k][1], pairs[m][1], m - k + 1))
+            k = m + 1
+        best = 0
+        for mask in range(1 << len(runs)):
+            some = [r for k, r in enumerate(runs) if mask >> k & 1]
+            if all(x[1] < y[0] for x, y in zip(some, some[1:])):
+                best = max(best, sum(r[2] for r in some))
+        assert fp.likeness((a, at[0]), (b, at[1])) == pytest.approx(2 * best / (len(a) + len(b)))
+
+
 def expected(rows, ties):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
     out = Counter()

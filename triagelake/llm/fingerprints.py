@@ -2,22 +2,33 @@
 
 A window of ``K`` code points is an anchor when the smallest hash of its
 substrings of ``S`` code points is the first or the last of them.  Whether it is
-one depends on the window alone, so an edit moves no anchor outside it.  A
-fingerprint lists the ``SKETCH`` anchors of smallest hash with their places, in
-the order of the text.  Two fingerprints are compared by place: of the anchors
-both could hold, the share found in both at the most common shift.
+one depends on the window alone, so an edit moves no anchor outside it, and of any
+``K - S + 1`` windows in a row one is an anchor: about two in as many are, whatever
+the length of the text.  The first and the last window are anchors always, so an
+edit anywhere touches one at least.
+
+A fingerprint lists all anchors in the order of the text, each as how far it lies
+behind the one before (a byte, as the gaps are bounded) and 24 bits of its hash, in
+base 64: about half the length of the text.  Two fingerprints are compared by place.
+The occurrences of a hash are matched in turn; neighbouring matches with the same
+shift are a run; and the runs that follow each other in both texts with most anchors
+are chained.  The likeness is the share of both texts' anchors in the chain, so what
+is moved, inserted or cut out costs no more than itself.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint,
 likeness 1 to another empty one and 0 to any other; a text without a whole
-window, or without an anchor, has one anchor, its hash.  Equal texts have equal
-fingerprints.  Rows with equal ids follow each other by a hash of their text.
-After the last document comes the first, so a single document follows itself.
+window has one anchor, its hash.  Equal texts have equal fingerprints.  Very long texts
+are hashed in pieces, and only their anchors are held.  Rows with equal ids follow each
+other by a hash of their text.  After the last document comes the first, so a single
+document follows itself.  Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from triagelake.llm.ordered_texts import in_order, unpack
 from triagelake.llm.text_arrays import _BASE, _BASE_INVERSE, _power_table, mix
 
-K, S, SKETCH = 12, 6, 128
-SHIFT_SLACK = 16
+K, S = 24, 4  # a gap of at most K - S, which a byte holds
+HASH_BITS = 24
 PIECE = 1 << 17
 SCHEMA = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
@@ -76,54 +87,91 @@ Sketch = tuple[np.ndarray, np.ndarray]
 
 
 def sketch(text: str) -> Sketch:
-    """(hashes, places) of the anchors kept, ascending by hash; first place of each."""
+    """(hashes, places) of all anchors, in the order of the text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     if len(points) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     places, hashes = syncmers(points)
     if len(places) == 0:
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest()
-        return np.array([int.from_bytes(whole)], np.uint64), np.zeros(1, np.int64)
-    hashes = hashes >> np.uint64(16)
-    if len(hashes) > 8 * SKETCH:  # repeats stay possible below the cut
-        cut = np.partition(hashes, 4 * SKETCH)[4 * SKETCH]
-        low = np.flatnonzero(hashes <= cut)
-        kept, at = np.unique(hashes[low], return_index=True)
-        if len(kept) >= SKETCH:
-            return kept[:SKETCH], places[low[at[:SKETCH]]].astype(np.int64)
-    kept, at = np.unique(hashes, return_index=True)
-    return kept[:SKETCH], places[at[:SKETCH]].astype(np.int64)
+        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=3).digest()
+        return np.array([int.from_bytes(whole)], np.uint32), np.zeros(1, np.int64)
+    # an edit near an end may lie in few windows: the outermost are always anchors
+    if places[0] != 0:
+        places = np.append(0, places)
+        hashes = np.append(_substring_hashes(points[:K], K), hashes)
+    if places[-1] != len(points) - K:
+        places = np.append(places, len(points) - K)
+        hashes = np.append(hashes, _substring_hashes(points[-K:], K))
+    return (hashes >> np.uint64(64 - HASH_BITS)).astype(np.uint32), places.astype(np.int64)
 
 
 def as_text(found: Sketch) -> str:
-    """Anchors as ``hash@place`` in hexadecimal, in the order of the text."""
+    """Anchors as four bytes, the gap to the one before and the hash, in base 64."""
     hashes, places = found
-    order = np.lexsort((hashes, places))
-    pairs = zip(hashes[order].tolist(), places[order].tolist(), strict=True)
-    return " ".join(f"{h:012x}@{p:x}" for h, p in pairs)
+    rows = np.empty((len(hashes), 4), np.uint8)
+    rows[:, 0] = np.diff(places, prepend=0)
+    for k in range(3):
+        rows[:, 1 + k] = (hashes >> np.uint32(16 - 8 * k)) & np.uint32(255)
+    return base64.b64encode(rows.tobytes()).decode("ascii")
 
 
 def from_text(fingerprint: str) -> Sketch:
     """The sketch a fingerprint was written from."""
-    pairs = [x.split("@") for x in fingerprint.split()]
-    hashes = np.array([int(h, 16) for h, _ in pairs], np.uint64)
-    places = np.array([int(p, 16) for _, p in pairs], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], places[order]
+    rows = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 4)
+    hashes = np.zeros(len(rows), np.uint32)
+    for k in range(3):
+        hashes = hashes << np.uint32(8) | rows[:, 1 + k]
+    return hashes, np.cumsum(rows[:, 0], dtype=np.int64)
+
+
+def _occurrences(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of occurrence as one key, ascending, and where each stands."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    first = np.searchsorted(ordered, ordered, "left")
+    turn = np.arange(len(ordered)) - first
+    return (ordered.astype(np.int64) << 32) | turn, order
+
+
+def _longest_chain(start: np.ndarray, size: np.ndarray, end: np.ndarray) -> int:
+    """Most anchors in runs, given in the order of one text, that ascend in the other.
+
+    ``start`` and ``end`` are the first and last place of each run in the other
+    text.  A staircase of (end, most anchors so far) is kept, ascending in both.
+    """
+    ends, best = [-1], [0]
+    for a, n, b in zip(start.tolist(), size.tolist(), end.tolist(), strict=True):
+        reach = best[bisect_left(ends, a) - 1] + n
+        at = bisect_left(ends, b)
+        if at and best[at - 1] >= reach:
+            continue
+        stop = at
+        while stop < len(ends) and best[stop] <= reach:
+            stop += 1
+        ends[at:stop], best[at:stop] = [b], [reach]
+    return best[-1]
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Share of the smallest anchors of both that both hold at one shift; 0 to 1."""
+    """Share of the anchors of both texts in their longest chain of runs; 0 to 1."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:SKETCH]
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    inside = common <= union[-1]
-    if not inside.any():
+    left, at_left = _occurrences(a[0])
+    right, at_right = _occurrences(b[0])
+    _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    i, j = at_left[i], at_right[j]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if not len(i):
         return 0.0
-    shifts = np.sort(a[1][i[inside]] - b[1][j[inside]])
-    near = np.searchsorted(shifts, shifts + SHIFT_SLACK, "right") - np.arange(len(shifts))
-    return float(near.max()) / len(union)
+    if (np.diff(j) > 0).all():
+        chain = len(i)
+    else:
+        shift = a[1][i] - b[1][j]
+        cuts = np.flatnonzero((np.diff(shift) != 0) | (np.diff(j) <= 0)) + 1
+        first, last = np.append(0, cuts), np.append(cuts, len(i)) - 1
+        chain = _longest_chain(j[first], last - first + 1, j[last])
+    return 2.0 * chain / (len(a[0]) + len(b[0]))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
