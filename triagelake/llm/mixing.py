@@ -118,20 +118,23 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return summed.select("_none", "_source", "source_size", "_kind", target.alias("target"))
 
 
-def mix_documents(docs: DataFrame, size: str = "size") -> DataFrame:
+def mix_documents(docs: DataFrame, size: str = "size", tie: Column | None = None) -> DataFrame:
     """Add source_size, target, taken and passes to every row of ``docs``.
 
     ``docs`` has doc_id, source and the number of words in ``size``.  ``passes``
     lists, in order, the position at which a pass over the document is due and
     the words it takes; the last pass of one document per source may stop early,
-    so that the source's words meet its target.
+    so that the source's words meet its target.  ``tie`` tells rows of one id, or
+    without one, apart: it is part of their order and of what spreads them.
     """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if tie is not None:
+        name = F.concat(name, F.lit(":"), tie.cast("string"))
     mine = docs.select(
         whole_row(),
         *_key(F.col("source")),
         F.col(size).cast("bigint").alias("_size"),
-        F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast(
-            "binary")).alias("_order"),
+        F.md5(F.concat(F.lit(SEED), name).cast("binary")).alias("_order"),
         F.col("doc_id").alias("_id"),
     ).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     source, bucket = ["_none", "_source"], ["_none", "_source", "_bucket"]
@@ -206,29 +209,17 @@ def training_rows(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row per pass, in training order.
+    """The mix itself: the rows of ``docs`` as they are, one per pass, in training order.
 
-    A pass that stops early has the first words of the text only, and n_chars,
-    where there is one, counts them.  All other passes have the whole text.
+    A pass that would stop early is made whole, or left out if less than half of the
+    document's words are due: no text is ever cut, and a source's words come within
+    half a document of its target.
     """
     sized = docs.select(whole_row(), "doc_id", "source", words(F.col("text")).alias("size"))
-    rows = training_rows(mix_documents(sized))
-    text = F.col("_doc.text").cast("string")
-    some = F.slice(
-        F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
-        F.lit(1),
-        F.col("words").cast("int"),
-    )
-    cut = F.when(F.col("words") < F.col("size"), F.array_join(some, "")).otherwise(text)
-    rows = rows.withColumn("_cut", cut)
-    own = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("bigint")}
-    changed = F.col("words") < F.col("size")
-    return rows.select(
-        *[
-            (F.when(changed, own[c]).otherwise(F.col("_doc").getField(c)) if c in own
-             else F.col("_doc").getField(c)).alias(c)
-            for c in docs.columns
-        ]
+    tie = F.xxhash64(F.col("_doc.text"), F.col("_doc.source"))
+    rows = training_rows(mix_documents(sized, tie=tie))
+    return rows.filter(2 * F.col("words") >= F.col("size")).select(
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns]
     )
 
 
