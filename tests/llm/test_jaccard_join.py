@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from odd_tables import ROWS, empty, odd, prose
+from pyspark.sql import functions as F
 
 from triagelake.llm import jaccard_join as join
 from triagelake.llm.components import connected_components
@@ -157,3 +158,16 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.root for r in got} == {x: find(x) for x in linked}
     assert len(got) == len(linked)
+
+
+def test_rows_without_an_id_meet_their_own_text_only(spark):
+    """Near copies without ids: linked as with ids, and no product of rows and texts."""
+    texts = [prose(40, k // 4) + f" end {k % 4}" for k in range(80)] * 2
+    plain = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(plain, "doc_id bigint, text string").repartition(4)
+    none = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    with_ids = Counter(r.n_links for r in join.jaccard_join(docs).collect())
+    without = Counter(r.n_links for r in join.jaccard_join(none).collect())
+    assert with_ids == without == {7: 160}
+    kept = join.one_of_each_group(none).collect()
+    assert len({r.text for r in kept}) == 20

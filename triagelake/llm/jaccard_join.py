@@ -300,18 +300,23 @@ def _verify_cell(
 
 def verified(docs: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
     """(node, links, root): exact links of each class, a row per cell it is in."""
-    members = components.join(classes.select("node", "doc_id", "copies", "shingles"), "node")
+    members = components.join(
+        classes.select("node", "doc_id", "text_hash", "copies", "shingles"), "node"
+    )
     sizes = members.groupBy("root").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("shingles").alias("_s")
     )
     blocks = F.greatest(F.ceil(F.col("_n") / CELL_BLOCK), F.ceil(F.col("_s") / CELL_SHINGLES))
     cells = _cells(members.join(sizes, "root"), "root", blocks).select(
-        "root", "low", "high", "node", "block", "copies", F.col("doc_id").alias("_id")
+        "root", "low", "high", "node", "block", "copies", F.col("doc_id").alias("_id"), "text_hash"
     )
     texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"),
     ).filter(F.col("text").isNotNull())
-    wanted = cells.join(texts, F.col("_id").eqNullSafe(F.col("doc_id"))).select(
+    # by the hash as well: rows without an id, or of one id, do not all meet
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("_hash"))
+    wanted = cells.join(texts, same).select(
         "root", "low", "high", "node", "block", "copies", "text"
     )
 
@@ -360,12 +365,14 @@ def _joined(docs: DataFrame) -> DataFrame:
         signed.filter(F.col("node").isNotNull())
         .groupBy("node")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            # one of its rows stands for the class: the smallest id, null last
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_one"),
             F.count(F.lit(1)).alias("copies"),
             F.first("shingles").alias("shingles"),
             F.first("prefixes").alias("prefixes"),
             F.first("sketch").alias("sketch"),
-        ),
+        )
+        .select("node", "_one.doc_id", "_one.text_hash", "copies", "shingles", "prefixes", "sketch"),
         "classes",
     )
     components = connected_components(candidate_edges(classes))
