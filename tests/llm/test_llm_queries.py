@@ -8,7 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from compare import TABLES, connect, differences
-from odd_tables import COLUMNS, ROWS, prose
+from odd_tables import COLUMNS, ROWS, empty, odd, prose
 
 from triagelake.llm import queries
 
@@ -73,3 +73,14 @@ def test_stages_on_odd_rows(spark):
         if name != "mixing":
             assert not Counter(map(tuple, rows)) - Counter(map(tuple, docs.collect())), name
     assert corpus_pipeline.packing(spark, docs, SF_DIR).count() >= len(ROWS)
+
+
+def test_stages_on_an_empty_table_and_clashing_names(spark):
+    none, clashing = empty(spark), odd(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, none, SF_DIR)
+        assert rows.columns == none.columns and rows.count() == 0, name
+        rows = stage(spark, clashing, SF_DIR)
+        assert rows.columns == clashing.columns and rows.count() <= 3 * len(ROWS), name
+    assert corpus_pipeline.packing(spark, none, SF_DIR).count() == 0
+    assert corpus_pipeline.packing(spark, clashing, SF_DIR).count() >= len(ROWS)
