@@ -158,3 +158,18 @@ def test_failures_come_in_the_order_of_the_items(spark):
         assert [e.tweet_text for e in shown] == (
             ["998", "999"] if order else ["{7, doc_998}", "{7, doc_999}"]
         )
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_stream_reads_a_table_that_is_a_file_or_a_folder(spark, messages, tmp_path, folder):
+    """Large tables are folders of part files, whose names say nothing of the table."""
+    messages.coalesce(1).write.parquet(str(tmp_path / "written"))
+    source, out = tmp_path / "tables", str(tmp_path / "out")
+    place = source / "messages.parquet"
+    (place if folder else source).mkdir(parents=True)
+    for part in (tmp_path / "written").glob("*.parquet"):
+        (place / part.name if folder else place).write_bytes(part.read_bytes())
+    (source / "other.parquet").write_bytes(b"not a table")
+    stream = ts.read_messages(spark, str(source), messages.schema, file_glob="messages.parquet")
+    ts.write_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+    assert sorted(spark.read.parquet(out).collect(), key=str) == sorted(messages.collect(), key=str)
