@@ -137,6 +137,13 @@ def test_triage_beyond_the_bounds_is_the_same(spark, messages, corpus, monkeypat
     assert len(whole) == len(MESSAGES) + 3
 
 
+def test_no_message_is_moved_however_large_the_corpus(spark, messages, corpus, monkeypatch):
+    assert "Exchange hash" not in _plan(triage(messages, corpus))
+    for name in ("MAX_RESIDENT_DOCS", "MAX_RESIDENT_QUERIES", "MAX_SHARD_DOCS"):
+        monkeypatch.setattr(retrieval, name, 2)
+    assert "Exchange hash" not in _plan(triage(messages, corpus))
+
+
 def test_failures_come_in_the_order_of_the_items(spark):
     fields = "predicted_intent string, action string, response string, escalation_reason string"
     rows = [

@@ -7,9 +7,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake.functions import scoring
 from triagelake.operators import retrieval as rt
 
 RNG = random.Random(7)
@@ -265,3 +267,15 @@ def test_stored_index(spark, tmp_path):
     assert (index.n_docs, index.n_postings) == (len(DOCS), rt.postings(index.docs).count())
     assert rows(rt.retrieve(queries, index, 3)) == brute(3)
     assert rows(rt.retrieve(queries, index, 3, resident="corpus")) == brute(3)
+
+
+def test_places_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(1)
+    scores, names = scoring.rounded(rng.integers(-3, 4, (5, 32)) / 4), np.arange(0, 64, 2)
+    wanted, wanted_names = scoring.rounded(rng.integers(-3, 4, (5, 9)) / 4), rng.integers(-1, 66, (5, 9))
+    for factor in (1, 1e9):  # the second does not fit a key
+        each = [
+            scoring.places_before(s * factor, names, w * factor, n)
+            for s, w, n in zip(scores, wanted, wanted_names)
+        ]
+        assert (scoring.rows_before(scores * factor, names, wanted * factor, wanted_names) == each).all()
