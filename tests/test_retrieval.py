@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,17 @@ def test_places_of_many_rows_are_those_of_each():
             for s, w, n in zip(scores, wanted, wanted_names)
         ]
         assert (scoring.rows_before(scores * factor, names, wanted * factor, wanted_names) == each).all()
+
+
+def test_a_task_works_on_a_bounded_number_of_words(monkeypatch):
+    """A batch is bounded by its rows; texts of any length must not add up in a task."""
+    monkeypatch.setattr(rt, "BATCH_TERMS", 60)
+    words = [["a", "b", "a"] * n for n in (5, 0, 7, 40, 1, 1, 0, 19)]  # one is beyond the bound
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(8)), "tokens": words, "embedding": [[1.0]] * 8}
+    )
+    found = list(rt._count_terms([batch]))
+    assert all(b.num_rows == 1 or sum(b.column("dl").to_pylist()) <= 60 for b in found)
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(8))
+    assert [dict(zip(r["terms"], r["tfs"])) for r in rows] == [dict(Counter(w)) for w in words]
