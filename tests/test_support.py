@@ -252,3 +252,11 @@ def test_borderline_queue(spark, tmp_path):
     assert {g for g in got if g[0] in ("waits", "early", "late")} == {
         ("waits", "released", 10), ("early", "rejected", 12), ("late", "timed_out", 31)}
     assert Counter(g[0] for g in got)["late"] == 1
+
+
+def test_kappa_goes_on_from_counts_written_once(spark):
+    """The ratings are read and counted once, not by each of the sums over them."""
+    ratings = spark.range(60).select((F.col("id") % 20).alias("item"), (F.col("id") % 7).alias("category"))
+    found = fleiss_kappa(ratings)
+    assert "Range (" in ratings._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()

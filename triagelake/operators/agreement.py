@@ -7,7 +7,8 @@ all ratings of the items counted.
 
 The standard error is the jackknife over items.  What kappa would be without an item
 follows from the totals and the item's own counts, so all of them come from one pass
-over a row per item.  Totals per category are joined by broadcast: categories are a
+over a row per item.  The counts and the rows per item are written once, as every
+later step reads them.  Totals per category are joined by broadcast: categories are a
 scale, at most ``MAX_CATEGORIES``, which is checked.
 """
 
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.session import cut_lineage
+
 MAX_CATEGORIES = 10_000
 
 
@@ -40,12 +43,12 @@ def fleiss_kappa(ratings: DataFrame, item: str = "item", category: str = "catego
         .groupBy(*keys, F.col(item).alias("_item"), F.col(category).alias("_category"))
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
     )
-    sizes = counts.groupBy(*keys, "_item").agg(F.sum("_n").alias("_size")).filter(F.col("_size") >= 2)
+    size = F.sum("_n").over(Window.partitionBy(*keys, "_item"))
+    cells = cut_lineage(counts.withColumn("_size", size).filter(F.col("_size") >= 2).drop("_size"))
 
     def on(left: str, right: str, names: Sequence[str]) -> list[Column]:
         return [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
 
-    cells = counts.alias("c").join(sizes.alias("s"), on("c", "s", [*keys, "_item"]), "left_semi")
     totals = cells.groupBy(*keys, "_category").agg(F.sum("_n").alias("_all"))
     if totals.limit(MAX_CATEGORIES + 1).count() > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories and groups")
@@ -55,9 +58,8 @@ def fleiss_kappa(ratings: DataFrame, item: str = "item", category: str = "catego
         F.sum(F.col("c._n") * F.col("c._n")).alias("_square"),
         F.sum(F.col("c._n") * F.col("t._all")).alias("_cross"),
     )
-    per_item = per_item.withColumn(
-        "_agree", (F.col("_square") - F.col("_size")) / (F.col("_size") * (F.col("_size") - 1))
-    )
+    agree = (F.col("_square") - F.col("_size")) / (F.col("_size") * (F.col("_size") - 1))
+    per_item = cut_lineage(per_item.withColumn("_agree", agree))
     whole = per_item.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("items"),
         F.sum("_size").alias("_sizes"),
