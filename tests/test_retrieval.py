@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +295,52 @@ def test_a_task_works_on_a_bounded_number_of_words(monkeypatch):
     rows = [r for b in found for r in b.to_pylist()]
     assert [r["doc_id"] for r in rows] == list(range(8))
     assert [dict(zip(r["terms"], r["tfs"])) for r in rows] == [dict(Counter(w)) for w in words]
+
+
+@pytest.mark.parametrize("width", [1, 5, 900, 5000])
+def test_fused_heads_are_those_of_all_places(width):
+    rng = np.random.default_rng(width)
+    k, rrf_k = 3, 60
+    for levels in (1, 2, 7, 10**6):  # from all equal to hardly any
+        legs = [scoring.rounded(rng.integers(0, levels, width) / 8 - 3) for _ in range(2)]
+        legs[1] = None if levels == 7 else legs[1]
+        whole = [np.zeros(width) if x is None else x for x in legs]
+        ranks = [np.argsort(np.lexsort((np.arange(width), x))[::-1]) + 1 for x in whole]
+        fused = 1.0 / (rrf_k + ranks[0]) + 1.0 / (rrf_k + ranks[1])
+        best = np.lexsort((np.arange(width), -fused))[:k]
+        top, places, scores = scoring.fused_top([scoring.Places(x, width) for x in legs], k, rrf_k)
+        assert top.tolist() == best.tolist()
+        assert [p.tolist() for p in places] == [r[best].tolist() for r in ranks]
+        assert scores.tolist() == fused[best].tolist()
+
+
+def test_a_block_of_messages_takes_one_pass_over_the_shards(monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(3)
+
+    def shard(ids):
+        n = len(ids)
+        rows = pa.table({
+            "doc_id": pa.array(ids), "dl": pa.array(np.full(n, 4)),
+            "terms": pa.array([rng.choice(words, 4, replace=False).tolist() for _ in ids]),
+            "tfs": pa.array([[1, 2, 1, 1]] * n, pa.list_(pa.int32())),
+            "embedding": pa.array([[1.0, float(i % 5)] for i in ids], pa.list_(pa.float32())),
+        })
+        known = pa.table({"term": words, "idf": rng.random(len(words))})
+        return rt._corpus_of(rows, known, 4.0, 1.5, 0.75)
+
+    parts, read = [shard(np.arange(i, 600, 2)) for i in (0, 1)], []
+    monkeypatch.setattr(rt, "_read_again", lambda i: read.append(i) or parts[i])
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(40)), pa.array([rng.choice(words, 9).tolist() for _ in range(40)]),
+            pa.array([[1.0, 2.0] if i % 2 else None for i in range(40)], pa.list_(pa.float32())),
+        ],
+        ["id", "_tokens", "_embedding"],
+    )
+    (found,) = rt._rank_against([0, 1], 3, 60, ["id"])(iter([batch]))
+    assert read == [0, 1] * 2  # the keys, then the scores
+    assert found.num_rows == 40
+    hits = found.column("hits").to_pylist()
+    assert all(h["dense_score"] == 0 and h["dense_rank"] == 600 - h["doc_id"] for h in sum(hits[::2], []))
+    assert all(h["dense_score"] > 0 for h in sum(hits[1::2], []))
