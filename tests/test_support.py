@@ -260,3 +260,19 @@ def test_kappa_goes_on_from_counts_written_once(spark):
     found = fleiss_kappa(ratings)
     assert "Range (" in ratings._jdf.queryExecution().executedPlan().toString()
     assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_borderline_ids_share_their_state(spark, tmp_path):
+    """Many ids in one bucket are decided each by itself, by one call of Python a batch."""
+    schema = "id string, at timestamp, confidence double, verdict string"
+    feed = Feed(spark, str(tmp_path), schema, lambda s: borderline.decide(s, 30 * 60_000, buckets=1))
+    feed.send([(f"m{k}", at(k % 5), 0.8, None) for k in range(100)] + [("bad", at(0), None, None)])
+    feed.send([(f"m{k}", at(5 + k % 40), None, "AUTO_HANDLE") for k in range(0, 100, 2)])
+    feed.send([("end", at(500), 0.9, None)])
+    got = {(r.id, r.outcome, (r.decided_at - at(0)).total_seconds() / 60) for r in feed.out().collect()}
+    assert {g for g in got if g[0][0] == "m"} == {
+        (f"m{k}", "released", 5 + k % 40) if k % 2 == 0 and 5 + k % 40 <= k % 5 + 30
+        else (f"m{k}", "timed_out", k % 5 + 30)
+        for k in range(100)
+    }
+    assert ("bad", "escalated", 0) in got

@@ -7,9 +7,10 @@ its time by ``patience``.  Anything else passes straight through.
 
 Times lie between the years 1678 and 2261 (nanoseconds in 64 bits).
 
-State is one row per waiting message, gone once it is decided; a review that comes
-first is kept for the message as long.  Replays from the checkpoint give the same
-outcomes.
+A waiting message is gone from the state once it is decided; a review that comes first
+is kept for the message as long.  Ids share the state rows of ``BUCKETS`` by their hash,
+as a call of Python for every id costs far more than deciding it.  The number of buckets
+belongs to a stream's checkpoint.  Replays from the checkpoint give the same outcomes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from triagelake.session import ship_package
 
 LOW, HIGH = 0.75, rules.CONFIDENCE_THRESHOLD
 OUTCOME = "id string, outcome string, decided_at timestamp"
-_STATE = "waiting boolean, since timestamp, verdict string, reviewed_at timestamp"
+#: What waits, in lists of one length; times in nanoseconds, ``since`` null without a message.
+_STATE = "ids array<string>, since array<bigint>, verdicts array<string>, reviewed array<bigint>"
+BUCKETS = 1024
 
 
 def events(messages: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -45,7 +48,9 @@ def events(messages: DataFrame, reviews: DataFrame) -> DataFrame:
     return both.filter(F.col("id").isNotNull() & F.col("at").isNotNull())
 
 
-def decide(rows: DataFrame, patience_ms: int, delay: str = "0 seconds") -> DataFrame:
+def decide(
+    rows: DataFrame, patience_ms: int, delay: str = "0 seconds", buckets: int = BUCKETS
+) -> DataFrame:
     """``id, outcome, decided_at`` of every message of ``events``, as it is decided.
 
     Outcomes: ``auto``, ``escalated`` (at once), ``released``, ``rejected`` (by review),
@@ -53,50 +58,53 @@ def decide(rows: DataFrame, patience_ms: int, delay: str = "0 seconds") -> DataF
     """
 
     ship_package(rows.sparkSession)
+    patience = patience_ms * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def out(outcome: str, at) -> pd.DataFrame:
-            return pd.DataFrame({"id": [key[0]], "outcome": [outcome], "decided_at": [at]})
-
-        waiting, since, verdict, reviewed = state.get if state.exists else (False, None, None, None)
-        if state.hasTimedOut:
-            state.remove()
-            if waiting:
-                yield out("timed_out", since + pd.Timedelta(milliseconds=patience_ms))
-            return
-        passed = []
-        for frame in frames:
-            for row in frame.sort_values(["at"], kind="stable").itertuples(index=False):
-                if row.verdict is not None and not pd.isna(row.verdict):
-                    if verdict is None or row.at < reviewed:
-                        verdict, reviewed = row.verdict, row.at
-                elif LOW < row.confidence < HIGH:
-                    if not waiting or row.at < since:
-                        waiting, since = True, row.at
+        # (since, verdict, reviewed) by id; since is None without a message
+        kept = {i: rest for i, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
+        touched, out = set(), []
+        for frame in [] if state.hasTimedOut else frames:
+            times = frame["at"].astype("datetime64[ns]").astype("int64")
+            columns = (frame["id"], times, frame["confidence"], frame["verdict"])
+            for name, at, confidence, verdict in zip(*(c.tolist() for c in columns), strict=True):
+                if isinstance(verdict, str) or LOW < confidence < HIGH:
+                    touched.add(name)
+                    own = kept.setdefault(name, [None, None, None])
+                    if isinstance(verdict, str):
+                        if own[1] is None or at < own[2]:
+                            own[1:] = verdict, at
+                    elif own[0] is None or at < own[0]:
+                        own[0] = at
                 else:
-                    passed.append(("auto" if row.confidence >= HIGH else "escalated", row.at))
-        for outcome, at in passed:
-            yield out(outcome, at)
-        deadline = (since if waiting else reviewed)
-        if waiting and verdict is not None and reviewed <= since + pd.Timedelta(milliseconds=patience_ms):
-            if state.exists:
-                state.remove()
-            yield out("released" if verdict == rules.AUTO_HANDLE else "rejected", max(since, reviewed))
-            return
-        if deadline is None:
-            return
-        limit = int(pd.Timestamp(deadline).timestamp() * 1000) + patience_ms
-        if limit <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            if waiting:
-                yield out("timed_out", since + pd.Timedelta(milliseconds=patience_ms))
-            return
-        state.update((waiting, since, verdict, reviewed))
-        state.setTimeoutTimestamp(limit)
+                    if name in kept:
+                        touched.add(name)
+                    out.append((name, "auto" if confidence >= HIGH else "escalated", at))
+        least = None
+        for name, (since, verdict, reviewed) in list(kept.items()):
+            limit = (reviewed if since is None else since) // 1_000_000 + patience_ms
+            if name in touched and since is not None and verdict is not None and reviewed <= since + patience:
+                out.append((name, "released" if verdict == rules.AUTO_HANDLE else "rejected", max(since, reviewed)))
+                del kept[name]
+            elif limit < watermark or (limit == watermark and name in touched):
+                if since is not None:
+                    out.append((name, "timed_out", since + patience))
+                del kept[name]
+            else:
+                least = limit if least is None else min(least, limit)
+        if kept:
+            state.update(tuple(map(list, zip(*((i, *rest) for i, rest in kept.items()), strict=True))))
+            state.setTimeoutTimestamp(max(least, watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            ids, outcomes, decided = zip(*out, strict=True)
+            yield pd.DataFrame({"id": ids, "outcome": outcomes, "decided_at": pd.to_datetime(decided)})
 
     return (
         rows.withWatermark("at", delay)
-        .groupBy("id")
+        .withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+        .groupBy("_bucket")
         .applyInPandasWithState(run, OUTCOME, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
