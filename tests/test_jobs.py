@@ -12,7 +12,7 @@ from triagelake.operators import retrieval
 from triagelake.operators.classify import classify
 from triagelake.operators.failures import summarise
 from triagelake.plans import evaluation
-from triagelake.plans.triage import rules_only, triage
+from triagelake.plans.triage import rules_only, triage, with_drafts
 from triagelake.streaming import triage_stream as ts
 
 MESSAGES = [
@@ -128,6 +128,16 @@ def test_evaluation_matches_words_once(spark, corpus, monkeypatch):
     assert len(calls) == 1
 
 
+def test_drafts_beyond_the_bounds_move_no_message(messages, corpus, monkeypatch):
+    """Copies of messages or of the corpus by bucket were what filled the disks."""
+    whole = sorted(map(repr, with_drafts(messages, corpus).select("id", "draft").collect()))
+    for name in ("MAX_RESIDENT_DOCS", "MAX_RESIDENT_QUERIES", "MAX_SHARD_DOCS"):
+        monkeypatch.setattr(retrieval, name, 2)
+    drafted = with_drafts(messages, corpus).select("id", "draft")
+    assert "Exchange" not in _plan(drafted)
+    assert sorted(map(repr, drafted.collect())) == whole
+
+
 def test_triage_beyond_the_bounds_is_the_same(spark, messages, corpus, monkeypatch):
     both = messages.unionByName(messages.limit(2)).unionByName(messages.filter("id IS NULL"))
     whole = sorted(map(repr, triage(both, corpus).collect()))
