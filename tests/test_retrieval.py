@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -344,3 +345,32 @@ def test_a_block_of_messages_takes_one_pass_over_the_shards(monkeypatch):
     hits = found.column("hits").to_pylist()
     assert all(h["dense_score"] == 0 and h["dense_rank"] == 600 - h["doc_id"] for h in sum(hits[::2], []))
     assert all(h["dense_score"] > 0 for h in sum(hits[1::2], []))
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_what_is_sent_is_smaller_than_what_it_holds(spark, monkeypatch, fits):
+    """The driver and every executor keep a copy of it on disk."""
+    if not fits:
+        for name in ("MAX_RESIDENT_DOCS", "MAX_SHARD_DOCS"):
+            monkeypatch.setattr(rt, name, 500)
+    corpus = spark.range(2000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', (id * i + i) % 97))) AS text",
+        "CAST(transform(sequence(1, 8), i -> (id % 300 * i) % 7 + 1) AS array<float>) AS embedding",
+    )
+    index = rt.build_index(rt.searchable(corpus, "doc_id", "text", "embedding"))
+    messages = spark.range(5).selectExpr("id", "concat('w', id, ' w', id + 9) AS text")
+    found = rt.attach_attributes(rt.with_hits(messages, index), corpus, ["text"], index=index)
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    hits = {r.id: [h.doc_id for h in r.hits] for r in rt.with_hits(messages, index).collect()}
+    assert {r.id: [t.text for t in r.retrieved] for r in found.collect()} == {
+        i: [texts[d] for d in ids] for i, ids in hits.items()
+    }
+
+    def held(sent):
+        return sum(os.path.getsize(x._path) for x in sent)
+
+    sent = index.sent[rt.rules.BM25_K1, rt.rules.BM25_B]
+    assert len(sent) == (1 if fits else 4)
+    assert held(sent) < (16 * index.n_postings + index.vector_bytes) / 2
+    if not fits:
+        assert held(index.sent["rows", "text"]) < sum(map(len, texts.values())) / 2
